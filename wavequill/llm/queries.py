@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .jaccard import similar_classes
 from .mixing import mix, mix_sql
 from .packing import pack
+from .quality import quality
 from .tokens import count_tokens
+from .toxicity import severity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +24,15 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = similar_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "n_links")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -34,9 +46,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op5_token_counts": op5_token_counts,
     "op8_mix_sources": op8_mix_sources,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quality_crf": op10_quality_crf,
 }
 ORACLE_SQL: dict[str, str] = {"op8_mix_sources": mix_sql()}
