@@ -10,6 +10,7 @@ from . import warc
 from ._common import Scratch, table
 from .ann import search
 from .jaccard import similar_classes
+from .licenses import scan
 from .media import media_digests
 from .mixing import mix, mix_sql
 from .packing import pack
@@ -39,6 +40,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
+    "op4_license_scan": op4_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_media_chunks": op6_media_chunks,
     "op7_warc_shards": op7_warc_shards,
