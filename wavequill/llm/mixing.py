@@ -46,39 +46,69 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] =
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3, seed: str = "mix") -> tuple[DataFrame, Scratch]:
+#: Sources that are expected at most: their totals and thresholds are driver data and are sent to every task.
+MAX_SOURCES = 100_000
+
+
+def _hash(seed: str) -> Column:
+    return F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, LEVEL_DIGITS * LEVELS)
+
+
+def _copies(h: Column, whole: Column, below: Column, also: Column, most: int = 3) -> Column:
+    extra = (h < below) | (also & (h == below))
+    return whole + F.when((whole < most) & extra, 1).otherwise(0)
+
+
+def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: str = "mix") -> tuple[DataFrame, DataFrame, Scratch]:
+    """The thresholds by source, the sizes and hashes of all rows, and the scratch folder that holds the latter."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
+    sized = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _hash(seed).alias("h")), "sized")
+    totals = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()]
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    goal = targets(totals, weights, most=most)
+    rows = [(s, n, goal[s], min(int(goal[s] // n), most) if n else 0) for s, n in totals]
+    budgets = spark.createDataFrame([(s, n, t, c, float(t - c * n)) for s, n, t, c in rows], "source string, source_size long, target double, whole int, budget double")
+    return _thresholds(sized, budgets), sized, scratch
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: str = "mix") -> tuple[DataFrame, Scratch]:
     """How often each document is taken, so that every source comes near its target.
 
     Returns doc_id, source, size, source_size, target, copies and taken, a row for each row of
-    ``docs``, and the scratch folder that it reads. A source with a target above its size is taken whole as often as it fits; the remainder is a
-    set of documents whose hash lies below a threshold. Levels of histograms find it: words by source and leading hash digits, then
-    the same within the boundary bucket alone, until the boundary is one hash value; that one is
-    taken if this brings the source nearer to its target. Smaller budgets take subsets of larger
-    ones, no documents are sorted, and reruns agree, as the hash is of seed and doc_id.
+    ``docs``, and the scratch folder that it reads. A source with a target above its size is taken
+    whole as often as it fits; the remainder is a set of documents whose hash lies below a
+    threshold. Levels of histograms find it: words by source and leading hash digits, then the
+    same within the boundary bucket alone, until the boundary is one hash value; that one is taken
+    if this brings the source nearer to its target. Smaller budgets take subsets of larger ones, no
+    documents are sorted, and reruns agree, as the hash is of seed and doc_id.
 
     Null texts have size 0; a null source is a source of its own; null doc_ids share a hash, and so
     do repeated rows, which are taken or left together. An empty table gives an empty result.
-    Only totals by source reach the driver: their number is that of the sources.
+    Only totals by source reach the driver: at most ``MAX_SOURCES``, else the mix is refused.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    digits = LEVEL_DIGITS * LEVELS
-    hashed = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, digits)
-    sized = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), hashed.alias("h")), "sized")
-
-    totals = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    goal = targets(totals, weights, most=most)
-    rows = [(s, n, goal[s], min(int(goal[s] // n), int(most)) if n else 0) for s, n in totals]
-    plan = spark.createDataFrame([(s, n, t, c, float(t - c * n)) for s, n, t, c in rows], "source string, source_size long, target double, whole int, budget double")
-
-    threshold = _thresholds(sized, plan)
+    threshold, sized, scratch = plan(docs, weights, most, seed)
     where = sized.alias("d").join(F.broadcast(threshold).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    extra = (F.col("d.h") < F.col("p.below")) | (F.col("p.also") & (F.col("d.h") == F.col("p.below")))
-    copies = F.col("p.whole") + F.when((F.col("p.whole") < most) & extra, 1).otherwise(0)
+    copies = _copies(F.col("d.h"), F.col("p.whole"), F.col("p.below"), F.col("p.also"), most)
     out = where.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", copies.alias("copies"))
     return out.withColumn("taken", (F.col("size") * F.col("copies")).cast("long")), scratch
 
 
+def repeat(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` as often as the mix takes it, with its columns as they were.
+
+    Sizes and hashes are computed once more beside the rows, so that no text is joined or shuffled:
+    the thresholds of the sources, all that is needed, are sent to every task.
+    """
+    threshold = plan(docs)[0]
+    base = docs.select("*", F.struct(F.col("source").cast("string").alias("s"), _hash("mix").alias("h")).alias("__mix"))
+    met = base.join(F.broadcast(threshold.select(F.struct("source", "source_size", "whole", "below", "also").alias("__plan"))), F.col("__mix.s").eqNullSafe(F.col("__plan.source")))
+    copies = _copies(F.col("__mix.h"), F.col("__plan.whole"), F.col("__plan.below"), F.col("__plan.also"))
+    taken = met.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def _thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """For each source the hash below which documents are taken, and whether that hash itself is."""
     spark = sized.sparkSession

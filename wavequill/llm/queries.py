@@ -71,6 +71,12 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_crf": op10_quality_crf,
+    "pipeline": pipeline,
 }
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
