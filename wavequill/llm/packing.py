@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict, deque
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +16,39 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_map, column, documents, strings
 
-#: Cached words in a Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+#: Words of each of the two generations that a Python worker remembers (some 70 MB each).
+CACHE_WORDS = 400_000
 
 _TWO_SPACES = re.compile(r"\s\s")
+#: A blank-led word of Latin letters, then ASCII marks (no apostrophe): two pre-tokens, each remembered alone.
+_STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)", re.ASCII)
+#: Letters alone are one pre-token, which the model can be given itself.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+", re.ASCII)
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
+class _Words(dict):
+    """Ids by word; an unknown word is learnt when it is asked for. The generation before the present one is still known."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            parts = _STEM.fullmatch(word)
+            ids = self[parts[1]] + self[parts[2]] if parts else self.learn(word)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class WordEncoder:
@@ -33,51 +65,40 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.alphabet = byte_alphabet()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.newline = self._raw("\n")
-        self.can_split = self._raw("a\nb c") == self._raw("a") + self.newline + self._raw("b") + self._raw(" c") and len(self.newline) == 4
-        self.words: dict[str, bytes] = {}
+        self.can_split = self._raw("a\nb c") == self._raw("a") + self._raw("\n") + self._raw("b") + self._raw(" c")
+        self.direct = all(self._letters(w) == self._raw(w) for w in (" the", "Über", " événement", "a", " Xqz"))
+        self.words = _Words(lambda w: self._letters(w) if self.direct and _LETTERS.fullmatch(w) else self._raw(w))
 
     def _raw(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words without line ends: one library call for many, joined by line ends."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        for a in range(0, len(words), 4096):
-            part = words[a : a + 4096]
-            ids = np.asarray(self.library.encode("\n".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == int.from_bytes(self.newline, "little"))
-            if len(ends) != len(part) - 1:
-                self.words.update((w, self._raw(w)) for w in part)
-                continue
-            whole, at = ids.tobytes(), [0, *(ends + 1).tolist()]
-            to = [*ends.tolist(), len(ids)]
-            self.words.update((w, whole[4 * x : 4 * y]) for w, x, y in zip(part, at, to, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | list[str]] = []
-        for t in texts:
-            if not self.can_split or _TWO_SPACES.search(t) or any(s in t for s in self.special):
-                out.append(self._raw(t))
-            else:  # "\n" stands for itself; every other unit has no line end
-                out.append(t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t else self._units(t))
-        need = list({w for units in out if isinstance(units, list) for w in units}.difference(self.words, ("", "\n")))
-        if need:
-            if len(self.words) + len(need) > CACHE_WORDS:  # those kept so far may be needed as well
-                need = list({w for units in out if isinstance(units, list) for w in units}.difference(("", "\n")))
-            self._learn(need)
-        self.words[""], self.words["\n"] = b"", self.newline
-        get = self.words.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in out]
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a whole text."""
+        if not self.can_split or _TWO_SPACES.search(text) or any(s in text for s in self.special):
+            return self._raw(text)
+        # A line end stands for itself; every other unit has none.
+        units = self._units(text) if "\0" in text else text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return b"".join(map(self.words.__getitem__, units))
 
     @staticmethod
     def _units(text: str) -> list[str]:
         return [u for u in re.split(r"(\n)|(?= )", text) if u]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_id: int = 2) -> DataFrame:
     """Tokenise whole documents and cut them: doc_id, piece, start, length, ids_crc32.
 
@@ -87,13 +108,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_id: in
     """
 
     def make():
-        encoder = WordEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = int(end_id).to_bytes(4, "little")
 
         def one(batch: pa.RecordBatch) -> dict:
             texts, ids = strings(batch), column(batch, "doc_id").to_pylist()
             cols: dict[str, list] = defaultdict(list)
-            for doc, coded in zip(ids, encoder.encode(texts), strict=True):
+            for doc, coded in zip(ids, map(encoder.encode, texts), strict=True):
                 coded += end
                 n = len(coded) // 4
                 first = n % max_len or max_len
