@@ -19,6 +19,7 @@ from ._common import Scratch, arrow_map, column, documents, strings
 #: Words of each of the two generations that a Python worker remembers (some 70 MB each).
 CACHE_WORDS = 400_000
 
+_FOUR = struct.Struct("<I").pack
 _TWO_SPACES = re.compile(r"\s\s")
 #: A blank-led word of Latin letters, then ASCII marks (no apostrophe): two pre-tokens, each remembered alone.
 _STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)", re.ASCII)
@@ -42,7 +43,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            parts = _STEM.fullmatch(word)
+            parts = None if word[-1:].isalpha() else _STEM.fullmatch(word)
             ids = self[parts[1]] + self[parts[2]] if parts else self.learn(word)
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
@@ -70,15 +71,21 @@ class WordEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.can_split = self._raw("a\nb c") == self._raw("a") + self._raw("\n") + self._raw("b") + self._raw(" c")
         self.direct = all(self._letters(w) == self._raw(w) for w in (" the", "Über", " événement", "a", " Xqz"))
-        self.words = _Words(lambda w: self._letters(w) if self.direct and _LETTERS.fullmatch(w) else self._raw(w))
+        self.words = _Words(self._learn)
+        self.words[""] = b""
 
     def _raw(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _letters(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        mapped = word.replace(" ", self.alphabet[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([_FOUR(t.id) for t in self.model.tokenize(mapped)])
+
+    def _learn(self, word: str) -> bytes:
+        if self.direct and ((word.isascii() and (word.isalpha() or word[1:].isalpha() and word[0] == " ")) or _LETTERS.fullmatch(word)):
+            return self._letters(word)
+        return self._raw(word)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
