@@ -26,7 +26,7 @@ def reference(samples: DataFrame, channels: str | Sequence[str] = "average", key
         used = c.isin(names)
     at = [*keys, "t_idx"]
     level = samples.where(used).groupBy(*at).agg(F.avg("value").alias("__ref"))
-    return samples.join(level, at).withColumn("value", F.col("value") - F.col("__ref")).drop("__ref")
+    return samples.join(level, at).withColumn("value", F.col("value") - F.col("__ref")).select(*samples.columns)
 
 
 def reference_if_any(samples: DataFrame, channels: Sequence[str], keys: Sequence[str] = _KEYS) -> DataFrame:
@@ -35,7 +35,7 @@ def reference_if_any(samples: DataFrame, channels: Sequence[str], keys: Sequence
     ref = samples.where(F.col("channel").isin(list(channels)))
     usable = ref.groupBy(*keys).agg(F.countDistinct("channel").alias("n"), F.max(F.abs("value")).alias("peak")).where((F.col("n") == len(set(channels))) & (F.col("peak") > 0)).select(*keys)
     level = ref.join(usable, list(keys), "left_semi").groupBy(*at).agg(F.avg("value").alias("__ref"))
-    return samples.join(level, at, "left").withColumn("value", F.col("value") - F.coalesce("__ref", F.lit(0.0))).drop("__ref")
+    return samples.join(level, at, "left").withColumn("value", F.col("value") - F.coalesce("__ref", F.lit(0.0))).select(*samples.columns)
 
 
 def project_rest(signals: DataFrame, gain: Sequence[Sequence[float]]) -> DataFrame:
