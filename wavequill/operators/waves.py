@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..functions.names import normalise_subject
 from .filters import slow_wave_band
+from .signals import let
 
 #: Columns of a wave, in seconds, microvolts and hertz.
 WAVE = ("Start", "End", "MidCrossing", "Duration", "ValNegPeak", "ValPosPeak", "PTP", "Frequency", "Slope", "DescendingSlope", "AscendingSlope")
@@ -29,14 +30,22 @@ def zero_crossing_waves(signals: DataFrame, min_ptp: float = 0.0) -> DataFrame:
     down = lambda x: F.when(x == 0, F.lit(False)).otherwise(x < 0)
     turns = F.zip_with(F.slice("data", 1, n - 1), F.slice("data", 2, n - 1), lambda x, y: down(x) != down(y))
     crossing = F.filter(F.transform(turns, lambda turn, i: F.when(turn, i + 1)), lambda i: i.isNotNull())
-    base = signals.withColumn("cross", F.when(n > 1, crossing).otherwise(F.array().cast("array<int>")))
-    each = base.where(F.size("cross") >= 3).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("cross") - 2)))
+    keys = [c for c in signals.columns if c not in ("data", "sfreq", "tmin", "epoch", "channel", "ch_idx", "condition")]
+    heads = [*keys, "channel", "epoch", "ch_idx", "sfreq"]
     # Crossing i (from 1) lies between samples i - 1 and i from 0, so that i is the index of the sample after it.
-    each = each.withColumn("a", F.element_at("cross", F.col("k"))).withColumn("m", F.element_at("cross", F.col("k") + 1)).withColumn("z", F.element_at("cross", F.col("k") + 2))
-    neg, pos = F.slice("data", F.col("a") + 1, F.col("m") - F.col("a")), F.slice("data", F.col("m") + 1, F.col("z") - F.col("m"))
-    each = each.select(*(c for c in each.columns if c not in ("data", "cross", "k")), F.array_min(neg).alias("lo"), F.array_max(pos).alias("hi"), neg.alias("neg"), pos.alias("pos"))
-    each = each.where((F.col("lo") < 0) & (F.col("hi") > 0) & (F.col("hi") - F.col("lo") >= min_ptp))
-    at_lo, at_hi = F.col("a") + F.array_position("neg", F.col("lo")) - 1, F.col("m") + F.array_position("pos", F.col("hi")) - 1
+    halves = F.struct(F.col("data"), F.when(n > 1, crossing).otherwise(F.array().cast("array<int>")).alias("cross"))
+
+    def wave(row: Column, k: Column) -> Column:
+        a, m, z = (F.element_at(row["cross"], k + j) for j in range(3))
+        parts = F.struct(F.slice(row["data"], a + 1, m - a).alias("neg"), F.slice(row["data"], m + 1, z - m).alias("pos"))
+        return let(parts, lambda p: F.struct(
+            a.alias("a"), m.alias("m"), z.alias("z"), F.array_min(p["neg"]).alias("lo"), F.array_max(p["pos"]).alias("hi"),
+            (a + F.array_position(p["neg"], F.array_min(p["neg"])) - 1).alias("at_lo"), (m + F.array_position(p["pos"], F.array_max(p["pos"])) - 1).alias("at_hi"),
+        ))
+
+    found = let(halves, lambda row: F.when(F.size(row["cross"]) >= 3, F.transform(F.sequence(F.lit(1), F.size(row["cross"]) - 2), lambda k: wave(row, k))))
+    each = signals.select(*heads, F.explode(found).alias("w")).select(*heads, "w.*").where((F.col("lo") < 0) & (F.col("hi") > 0) & (F.col("hi") - F.col("lo") >= min_ptp))
+    at_lo, at_hi = F.col("at_lo"), F.col("at_hi")
     s = F.col("sfreq")
     span = lambda x, y: F.greatest((y - x) / s, F.lit(_EPS))
     ptp, duration = F.col("hi") - F.col("lo"), (F.col("z") - F.col("a")) / s
@@ -44,7 +53,6 @@ def zero_crossing_waves(signals: DataFrame, min_ptp: float = 0.0) -> DataFrame:
         "Start": F.col("a") / s, "End": F.col("z") / s, "MidCrossing": F.col("m") / s, "Duration": duration, "ValNegPeak": F.col("lo"), "ValPosPeak": F.col("hi"), "PTP": ptp,
         "Frequency": 1.0 / duration, "Slope": ptp / span(at_lo, at_hi), "DescendingSlope": F.abs("lo") / span(F.col("a"), at_lo), "AscendingSlope": F.abs("lo") / span(at_lo, F.col("m")),
     }
-    keys = [c for c in signals.columns if c not in ("data", "sfreq", "tmin", "epoch", "channel", "ch_idx", "condition")]
     return each.select(*keys, F.col("channel").alias("Channel"), F.col("epoch").alias("Epoch"), F.col("ch_idx").alias("ChanIdx"), *(c.alias(k) for k, c in made.items()))
 
 
