@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 #: Text bytes handled at once inside a Python task; numpy temporaries are some ten times as large.
 SLICE_BYTES = 1 << 20
 
+#: Bytes and rows of an Arrow batch between the JVM and a Python worker; both hold a batch or two for each running task.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -26,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches be no larger than the bounds above; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        digits, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", spark.conf.get(key).lower()).groups()
+        now = int(digits) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Written tables of one operator call, below the shared folder.
 
@@ -35,6 +48,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/wavequill/{name}-{uuid.uuid4().hex}"
         _made.append((spark, self.root))
@@ -86,6 +100,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     or None for no rows.
     """
     spark = df.sparkSession
+    small_batches(spark)
     out = pa_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

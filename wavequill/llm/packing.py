@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_map, column, documents, strings
 
-#: Words of each of the two generations that a Python worker remembers (some 70 MB each).
-CACHE_WORDS = 400_000
+#: Words of each of the two generations that a Python worker remembers (some 45 MB each).
+CACHE_WORDS = 250_000
 
 _FOUR = struct.Struct("<I").pack
 _TWO_SPACES = re.compile(r"\s\s")

@@ -20,7 +20,7 @@ MAX_FEATURES = 4_096
 GRADES = 4
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
