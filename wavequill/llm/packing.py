@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_map, column, documents, strings
 
-#: Words of each of the two generations that a Python worker remembers (some 45 MB each).
-CACHE_WORDS = 250_000
+#: Words of each of the two generations that a Python worker remembers (some 70 MB each).
+CACHE_WORDS = 400_000
 
 _FOUR = struct.Struct("<I").pack
 _TWO_SPACES = re.compile(r"\s\s")
@@ -44,7 +44,13 @@ class _Words(dict):
         ids = self.old.get(word)
         if ids is None:
             parts = None if word[-1:].isalpha() else _STEM.fullmatch(word)
-            ids = self[parts[1]] + self[parts[2]] if parts else self.learn(word)
+            if parts:
+                known = parts[1] in self
+                ids = self[parts[1]] + self[parts[2]]
+                if not known:  # a stem's first sight; most such words come once only
+                    return ids
+            else:
+                ids = self.learn(word)
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
