@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import permutations
 
 import numpy as np
@@ -96,16 +96,28 @@ def mutual_information(signals: DataFrame, taus: Sequence[int] = (8,), kernel: i
         upper = np.triu(out, 1)
         return upper + upper.T
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ch_idx")
-        x = np.stack(pdf["data"].to_numpy())
-        names, ix = pdf["channel"].to_numpy(), pdf["ch_idx"].to_numpy()
-        a, b = (g.ravel() for g in np.meshgrid(np.arange(len(x)), np.arange(len(x)), indexing="ij")) if full else np.triu_indices(len(x), 1)
-        parts = [pd.DataFrame({"tau": tau, "channel_i": names[a], "channel_j": names[b], "ch_i": ix[a], "ch_j": ix[b], "value": matrix(x, tau)[a, b]}) for tau in taus]
-        return pd.concat(parts).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "tau", "channel_i", "channel_j", "ch_i", "ch_j", "value"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cols: dict[str, list] = {c: [] for c in ("row", "tau", "channel_i", "channel_j", "ch_i", "ch_j", "value")}
+            for k, (names, ix, data) in enumerate(zip(pdf["__names"], pdf["__ix"], pdf["__data"], strict=True)):
+                x, names, ix = np.stack(list(data)), np.asarray(names, object), np.asarray(ix)
+                a, b = (g.ravel() for g in np.indices((len(x), len(x)))) if full else np.triu_indices(len(x), 1)
+                for tau in taus:
+                    made = (np.full(len(a), k), np.full(len(a), tau), names[a], names[b], ix[a], ix[b], matrix(x, tau)[a, b])
+                    for c, v in zip(cols, made, strict=True):
+                        cols[c].append(v)
+            out = pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
+            for key in keys:
+                out[key] = pdf[key].to_numpy()[out["row"].to_numpy()]
+            yield out[[*keys, "tau", "channel_i", "channel_j", "ch_i", "ch_j", "value"]]
 
     cut = signals.withColumn("data", window(F.col("data"), F.col("sfreq"), F.col("tmin"), tmin, tmax))
-    return cut.groupBy(*keys).applyInPandas(run, schema)
+    # An epoch becomes one row of arrays, so that a Python batch holds many epochs.
+    epochs = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ch_idx", "channel", "data"))).alias("__rows"))
+    part = lambda c: F.transform("__rows", lambda r: r[c])
+    return epochs.select(*keys, part("channel").alias("__names"), part("ch_idx").alias("__ix"), part("data").alias("__data")).mapInPandas(run, schema)
 
 
 def mutual_information_sql(signals: DataFrame, tau: int, kernel: int = 3, weighted: bool = True, keys: Sequence[str] = ("element", "epoch")) -> DataFrame:
