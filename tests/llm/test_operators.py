@@ -206,6 +206,20 @@ def test_pruning_keeps_what_can_reach_the_threshold():
     assert steps[-1][1] > 70  # far fewer than 0.8 * 125 equal values can't be
 
 
+def test_components_of_long_chains(spark):
+    """Chains of 400 hops whose ids are in shuffled order, a star and a lone pair."""
+    rng = np.random.default_rng(2)
+    edges, want = [(9000, 9001)], {9000: 9000, 9001: 9000}
+    for k in range(5):
+        ids = (rng.permutation(401) + 1000 * k).tolist()
+        edges += zip(ids, ids[1:])
+        want.update(dict.fromkeys(ids, 1000 * k))
+    edges += [(8000 + i, 8500) for i in range(300)]
+    want.update(dict.fromkeys([*range(8000, 8300), 8500], 8000))
+    out = jaccard.components(spark.createDataFrame(edges, "a long, b long"), jaccard.Scratch(spark, "chains"), "c")
+    assert {r["node"]: r["component"] for r in out.collect()} == want and out.count() == len(want)
+
+
 # ---- classifiers ---------------------------------------------------------------------------------
 
 

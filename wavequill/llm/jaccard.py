@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -234,19 +235,24 @@ def _verify(batches: Iterator[pa.RecordBatch], out: pa.Schema, threshold: float,
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, component: the smallest node that a chain of edges (a, b) reaches.
 
-    Labels move to the smallest among the neighbours', then jump to that label's own label, until
-    none changes. Each round is written; its number grows with the logarithm of the longest chain. Nodes with very many edges are
-    joined on the side that adaptive execution splits, and their labels are combined before the shuffle.
+    All nodes of a label move to the smallest label that any of them meets among its neighbours, then jump to that
+    label's own label, until none changes. Moving whole regions at once keeps the number of rounds near the logarithm of the
+    longest chain; there is no cap on it: labels only fall, so that rounds end, and where none falls all neighbours agree.
+    Each round is written. Nodes with very many edges are joined on the side that adaptive execution splits, and their
+    labels are combined before the shuffle.
     """
     both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
     labels = scratch.keep(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), f"{name}-0")
-    for k in range(1, 60):
+    for k in itertools.count(1):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("met"))
+        met = scratch.keep(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("met")), f"{name}-met-{k}")
+        hooks = met.groupBy("old").agg(F.min("met").alias("met"))
         jump = labels.select(F.col("node").alias("met"), F.col("component").alias("far"))
-        new = scratch.keep(met.join(jump, "met").select("node", "old", F.least("met", "far").alias("component")), f"{name}-{k}")
+        moved = hooks.join(jump, "met").select("old", F.least("met", "far").alias("component"))
+        new = scratch.keep(met.select("node", "old").join(moved, "old"), f"{name}-{k}")
         changed = not new.where("old <> component").isEmpty()
         labels = new.select("node", "component")
+        scratch.drop(f"{name}-met-{k}")
         if k > 1:
             scratch.drop(f"{name}-{k - 1}")
         if not changed:
