@@ -331,6 +331,32 @@ def test_licenses_equal_brute_force(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("== Physical Plan ==")[1].replace("Exchange RoundRobin", "")
 
 
+def test_license_keywords_miss_no_match(spark):
+    """Every alternative of every license alone in a text, and brute force by all patterns without their keywords."""
+    given = {
+        "Released under BSD-3-Clause.": "bsd-3-clause", "FreeBSD": "bsd-2-clause", "original BSD": "bsd-4-clause", "0BSD": "0bsd", "MPL 2.0": "mpl-2.0", "mpl v1.1": "mpl-1.1", "MIT No Attribution": "mit-0",
+        "https://www.eclipse.org/legal/epl-2.0": "epl-2.0", "https://www.mozilla.org/en-US/MPL/2.0/": "mpl-2.0", "https://mozilla.org/mpl": "mpl", "a simple reply": "",
+    }
+    alternatives = {x.replace("\0e", "ce").replace("\0", "4").strip() for _, name, _, place in licenses.LICENSES for p in (name, place) for x in licenses._runs(p)}
+    texts = [*given, *sorted(alternatives)]
+    patterns = {(r.label, r.priority, r.pattern) for r in licenses.rules()}
+    joined = "|".join(sorted({p for _, _, p in patterns}))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (t, label) in enumerate(given.items()):
+        assert got[i][0] == label, t
+    assert len(texts) > 500
+    for i, t in enumerate(texts):
+        s = " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " "
+        assert (got[i][1] > 0) == bool(re.search(joined, s)), t
+        if i % 5 == 0:
+            kept = []
+            for e in sorted((m.start(), -m.end(), -n, label) for label, n, p in patterns for m in re.finditer(p, s)):
+                if not any(k[1] <= e[1] and k[2] <= e[2] for k in kept):
+                    kept.append(e)
+            base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in s}
+            assert got[i][0] == ",".join(sorted(base | {k[3] for k in kept})), t
+
+
 # ---- media ---------------------------------------------------------------------------------------
 
 

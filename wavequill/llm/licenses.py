@@ -13,8 +13,10 @@ from ._common import documents
 # The phrases whose places are counted, and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: One of these stands in every text that a rule can match; each rule's own keyword holds one.
-GATES = ("licen", "spdx", "gpl", "cc by", "cc0", "creativecommons", "creative commons", "public domain", "wtfpl", "copyleft", "permission is hereby", "redistribution and use", "as is without warranty")
+#: One of these stands in every text that a rule can match, with a blank before and after the text; rules() proves it for each pattern.
+GATES = ("licen", "spdx", "gpl", "bsd", " mpl", " epl", "mit no attribution", "cc by", "cc0", "creativecommons", "creative commons", "public domain", "wtfpl", "copyleft", "permission is hereby", "redistribution and use", "as is without warranty")
+#: Keywords of names and addresses, rarer ones first; "licen" is for those without any other.
+_RARE = ("creativecommons", "creative commons", "cc by", "cc0", "wtfpl", "mit no attribution", " mpl", " epl", "bsd", "gpl", "licen")
 
 #: Label, names, words of the SPDX identifier, words of addresses. All stand for texts reduced to lower-case words with one blank between.
 LICENSES: tuple[tuple[str, str, str, str], ...] = (
@@ -121,26 +123,55 @@ def rules() -> list[Rule]:
     out: list[Rule] = []
     for label, name, tag, place in LICENSES:
         out.append(Rule(label, TAG, "spdx", rf"spdx licen[cs]e identifier (?:{tag})"))
-        gate = next((g for g in GATES if g in name and g != "licen"), None)
-        key = "licen" if re.search(r"licen\[cs\]e\)?$|licen\[cs\]e", name) and not re.search(r"\(\?: licen\[cs\]e\)\?|\|(?:l|a|m)?gpl\)|\|mpl\)|cc by|cc0|wtfpl", name) else None
-        for key in [key] if key else _keys(name, gate):
+        for key in _keys(name):
             out.append(Rule(label, GRANT, key, _GRANT + f"(?:{name})"))
             out.append(Rule(label, NAME, key, f"(?:{name})"))
-        gate = next((g for g in ("creativecommons", "wtfpl", "cc0", "gpl", "licen") if g in place), None)
-        out.append(Rule(label, PLACE, gate or "licen", f"(?:{place})"))
-    out += [Rule(label, NAME, key, f"(?:{pattern})") for label, key, pattern in SENTENCES]
+        out += [Rule(label, PLACE, key, f"(?:{place})") for key in _keys(place)]
+    for label, key, pattern in SENTENCES:
+        if not all(key in x for x in _runs(pattern)):
+            raise ValueError(f"{key!r} does not stand in all of {pattern}")
+        out.append(Rule(label, NAME, key, f"(?:{pattern})"))
     for r in out:
         if not any(g in r.keyword for g in GATES):
             raise ValueError(f"no gate for {r}")
     return list(dict.fromkeys(Rule(r.label, r.priority, r.keyword, f"(?<= ){r.pattern}(?= )") for r in out))
 
 
-def _keys(name: str, gate: str | None) -> list[str]:
-    """Keywords of a name with alternatives: one rule for each that it can be met by."""
-    found = [g for g in ("gpl", "cc by", "creative commons", "cc0", "wtfpl") if g in name]
-    if "licen[cs]e" in name:
-        found.append("licen")
-    return found or [gate or "licen"]
+def _expand(p: str, i: int = 0) -> tuple[set[str], int]:
+    """The texts that a pattern stands for, from place i to the end of its group; a NUL stands for what is not fixed."""
+    done, runs = set(), {""}
+    while i < len(p) and p[i] != ")":
+        if p[i] == "|":
+            done, runs, i = done | runs, {""}, i + 1
+            continue
+        if p.startswith("(?:", i):
+            unit, i = _expand(p, i + 3)
+            i += 1
+        elif p[i] in "[\\.":
+            unit, i = {"\0"}, {"[": p.find("]", i) + 1, "\\": i + 2, ".": i + 1}[p[i]]
+        else:
+            unit, i = {p[i]}, i + 1
+        if p.startswith("?", i):
+            unit, i = unit | {""}, i + 1
+        elif p.startswith("{", i):
+            unit, i = {"\0"}, p.index("}", i) + 1
+        runs = {r + u for r in runs for u in unit}
+    return done | runs, i
+
+
+def _runs(pattern: str) -> set[str]:
+    """All alternatives of a pattern, with the blanks that stand around each match."""
+    return {f" {x} " for x in _expand(pattern)[0]}
+
+
+def _keys(pattern: str) -> list[str]:
+    """Keywords of which every match of a pattern holds one: one rule for each."""
+    found = set()
+    for x in _runs(pattern):
+        if not any(k in x for k in _RARE):
+            raise ValueError(f"no keyword for {x!r} of {pattern}")
+        found.add(next(k for k in _RARE if k in x))
+    return [k for k in _RARE if k in found]
 
 
 def _rule_column() -> Column:
@@ -191,7 +222,7 @@ def scan(docs: DataFrame) -> DataFrame:
     words = documents(docs).select("doc_id", F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")).alias("norm"))
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     # Lower case by Unicode is only a prefilter here: it finds no less than A-Z alone does.
-    gated = words.select("doc_id", "norm", F.lower("norm").alias("any_case"))
+    gated = words.select("doc_id", "norm", F.concat(F.lit(" "), F.lower("norm"), F.lit(" ")).alias("any_case"))
     open_ = F.lit(False)
     for g in GATES:
         open_ = open_ | F.contains("any_case", F.lit(g))
