@@ -206,6 +206,17 @@ def test_pruning_keeps_what_can_reach_the_threshold():
     assert steps[-1][1] > 70  # far fewer than 0.8 * 125 equal values can't be
 
 
+def test_empty_blocks_count_no_links(spark, monkeypatch):
+    """Forty pairs of near copies in two blocks each: both copies are often in one block, and the other is empty."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 100)
+    texts = []
+    for k in range(40):
+        words = [f"g{k}w{i}" for i in range(100)]
+        texts += [" ".join(words), " ".join([*words, "more"])]
+    out = jaccard.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0]
+    assert rows_of(out, "doc_id", "class_id", "n_links") == sorted(((i, i - i % 2, 1) for i in range(80)), key=repr)
+
+
 def test_components_of_long_chains(spark):
     """Chains of 400 hops whose ids are in shuffled order, a star and a lone pair."""
     rng = np.random.default_rng(2)

@@ -196,7 +196,7 @@ def _verify(batches: Iterator[pa.RecordBatch], out: pa.Schema, threshold: float,
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(column(batch, c).to_pylist() for c in ("unit", "side", "node", "copies", "sig", "shingles")), strict=True)
+            yield from zip(*(column(batch, c).to_pylist() for c in ("unit", "side", "node", "copies", "sig", "shingles", "within")), strict=True)
 
     def emit(held: list[tuple]) -> pa.RecordBatch | None:
         sides = []
@@ -204,7 +204,8 @@ def _verify(batches: Iterator[pa.RecordBatch], out: pa.Schema, threshold: float,
             own = [r for r in held if r[1] == s]
             sides.append({"node": [r[2] for r in own], "copies": np.array([r[3] for r in own], np.int64), "sig": np.array([np.frombuffer(r[4], np.uint32) for r in own]).reshape(len(own), HASHES), "shingles": [np.frombuffer(r[5], np.uint64) for r in own]} if own else None)
         left, right = sides
-        if left is None or len(held) < 2:
+        # A block may be empty: two blocks of which one is give nothing, and the other's own links are found within it.
+        if left is None or len(held) < 2 or (right is None and not held[0][6]):
             return None
         i, j = links_of(left, right, threshold, tolerance)
         if not len(i):
@@ -355,7 +356,7 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def _units(spark: SparkSession, docs: DataFrame, nodes: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """unit, side, node, copies, sig, shingles: the rows of each pair of blocks, sorted within partitions by unit."""
+    """unit, side, node, copies, sig, shingles, within (one block or two): the rows of each pair of blocks, sorted within partitions by unit."""
     member = groups.join(nodes.select("node", "copies", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark")), "node")
     size = member.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     member = scratch.keep(member.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "members")
@@ -374,7 +375,7 @@ def _units(spark: SparkSession, docs: DataFrame, nodes: DataFrame, groups: DataF
     each = rows.withColumn("with_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "with_"), F.greatest("block", "with_")
     side = F.when(F.col("block") == low, 0).otherwise(1)
-    out = each.select(F.xxhash64("component", low, high).alias("unit"), side.alias("side"), "node", "copies", "sig", "shingles")
+    out = each.select(F.xxhash64("component", low, high).alias("unit"), side.alias("side"), "node", "copies", "sig", "shingles", (low == high).alias("within"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(n, "unit").sortWithinPartitions("unit", "side", "node")
 
