@@ -433,3 +433,47 @@ def test_store_round_trip(spark, tmp_path, data):
     assert axes == ("epoch", "channel_i") and np.allclose(got, data.mean(axis=-1), atol=1e-6)
     paths = store.export_pickles(spark, uri, str(tmp_path / "pkl"))
     assert len(paths) == 1
+
+
+def test_compiled_slow_wave_options(spark, tmp_path):
+    """Thresholds of a table, artifacts nearby and reference channels reach the operators."""
+    from wavequill.plans import config
+
+    t = np.arange(2000) / 100
+    wave = [float(x) for x in 30e-6 * np.sin(2 * np.pi * t)]
+    rows = [("sub-03", 0, None, i, c, 100.0, 0.0, wave) for i, c in enumerate("AB")]
+    df = spark.createDataFrame(rows, "element string, epoch int, condition string, ch_idx int, channel string, sfreq double, tmin double, data array<double>")
+    path = str(tmp_path / "limits.csv")
+    (tmp_path / "limits.csv").write_text("subject,channel,ptp_threshold\n3,A,1.0\n04,B,1.0\n")
+    spec = {"kind": "SlowWavesDetection", "feature": "Density", "detection_method": "custom", "ptp_threshold_mode": "fixed"}
+
+    def density(frame=df, **more):
+        kernel = config.MARKERS["SlowWavesDetection"][1]
+        return {r["channel"]: r["value"] for r in kernel(frame, {**spec, **more}).collect()}
+
+    every = density()
+    assert every["A"] == every["B"] > 10
+    assert density(ptp_threshold_mode="adaptive", ptp_thresholds_path=path) == {"A": every["A"], "B": 0}
+    assert density(proximity_amplitude=5.0) == {"A": 0, "B": 0} and density(proximity_amplitude=500.0) == every
+    assert density(reference_channels=["A"]) == {"A": 0, "B": 0} and density(reference_channels=["A", "Z"]) == every
+    other = df.withColumn("element", F.lit("05"))
+    with pytest.raises(ValueError, match="no thresholds"):
+        density(other, ptp_threshold_mode="adaptive", ptp_thresholds_path=path)
+    assert density(other, ptp_threshold_mode="adaptive", ptp_thresholds_path=path, ptp_thresholds_strict=False) == {"A": 0, "B": 0}
+
+
+def test_compiled_csd_needs_positions(spark):
+    from wavequill.plans import config, workload
+
+    rng = np.random.default_rng(3)
+    places = workload._ring()
+    rows = [(0, 0, None, i, c, 64.0, 0.0, [float(x) for x in rng.normal(size=64)]) for i, c in enumerate(places)]
+    df = spark.createDataFrame(rows, "element int, epoch int, condition string, ch_idx int, channel string, sfreq double, tmin double, data array<double>")
+    kernel = config.MARKERS["SymbolicMutualInformation"][1]
+    spec = {"kind": "SymbolicMutualInformation", "taus": [1]}
+    values = lambda **more: sorted((r["channel_i"], r["channel_j"], r["value"]) for r in kernel(df, {**spec, **more}).collect())
+    with pytest.raises(ValueError, match="positions"):
+        values(csd=True)
+    with pytest.warns(UserWarning, match="no CSD"):
+        plain = values()
+    assert values(positions=places) == values(positions=places, csd=True) != plain == values(positions=places, csd=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aggregate import aggregate, aggregate_pairs
+from ..functions.names import normalise_subject
 from ..operators import complexity, decoding, filters, interpolate, ordinal, reference, reject, signals, spectral, spindles, timelocked, waves
 from ..operators.select import resolve_rois, select_channels
 from ..sources import recordings, store, tables
@@ -139,7 +141,12 @@ def _entropy(df: DataFrame, p: dict[str, Any]) -> DataFrame:
 
 
 def _smi(df: DataFrame, p: dict[str, Any]) -> DataFrame:
-    if p.get("csd") and "positions" in p:
+    """CSD is on by default. Asked for without positions it is an error; not mentioned at all, it is left out with a warning."""
+    if p.get("csd") and "positions" not in p:
+        raise ValueError(f"{p['kind']}: csd needs positions")
+    if "csd" not in p and "positions" not in p:
+        warnings.warn(f"{p['kind']}: no CSD without positions; csd: false says so", stacklevel=2)
+    elif p.get("csd", True):
         import numpy as np
 
         df = interpolate.mix_channels(df, interpolate.csd_matrix(np.array(list(p["positions"].values()))))
@@ -179,12 +186,36 @@ def _waves(found: DataFrame, df: DataFrame, p: dict[str, Any], columns: tuple[st
     return out.select("element", F.col("Epoch").alias("epoch"), "ch_idx", F.col("Channel").alias("channel"), F.col(p["feature"]).alias("value"))
 
 
+def _thresholds(df: DataFrame, p: dict[str, Any]) -> DataFrame | None:
+    """element, channel, ptp_threshold of a CSV table by subject, where an element is a subject."""
+    if not p.get("ptp_thresholds_path") or p.get("ptp_threshold_mode", "adaptive") == "fixed":
+        return None
+    who = lambda c: normalise_subject(F.col(c).cast("string")).alias("__who")
+    given = df.sparkSession.read.csv(p["ptp_thresholds_path"], header=True).select(who("subject"), "channel", F.col("ptp_threshold").cast("double").alias("ptp_threshold"))
+    if twice := given.groupBy("__who", "channel").count().where("count > 1").first():
+        raise ValueError(f"more than one threshold for subject {twice['__who']!r}, channel {twice['channel']!r}")
+    elements = df.select("element", who("element")).distinct()
+    if p.get("ptp_thresholds_strict", True) and (lacking := elements.join(given, "__who", "left_anti").first()):
+        raise ValueError(f"no thresholds for subject {lacking['element']!r}")
+    return elements.join(given, "__who").drop("__who")
+
+
 @marker("SlowWavesDetection", "slowwavesdetection")
 def _slow(df: DataFrame, p: dict[str, Any]) -> DataFrame:
+    """Epochs that lack a reference channel, or where all are flat, keep their reference."""
+    at = ["element", "epoch", "condition", "ch_idx", "channel", "sfreq", "tmin"]
+    names = p.get("reference_channels", ("TP7", "TP8"))
+    names = [names] if isinstance(names, str) else list(names or ())
+    if names and not df.where(F.col("channel").isin(names)).isEmpty():
+        df = signals.collect_signals(reference.reference_if_any(signals.explode_samples(df.select(*at, "data")), names), at)
     band = tuple(p.get("freq_sw", (0.3, 1.5)))
     filtered = waves.band_pass_rows(df, band, p.get("filter_design", "chebyshev2"), p.get("scale", 1e6), p.get("downsample_to"))
     found = waves.negative_peak_waves(filtered) if p.get("detection_method", "yasa") == "yasa" else waves.zero_crossing_waves(filtered, p.get("amp_ptp_initial", 15))
-    kept = waves.cascade(found, p.get("freq_threshold", 7), p.get("max_ptp_amplitude", 150), p.get("artifact_threshold", 75), p.get("slope_uv_per_s_range"), p.get("ptp_threshold_mode", "adaptive"), p.get("ptp_percentile", 90), keys=["element"])
+    bounds = (p.get("freq_threshold", 7), p.get("max_ptp_amplitude", 150), p.get("artifact_threshold", 75), p.get("slope_uv_per_s_range"))
+    if p.get("proximity_amplitude") is not None:
+        # Waves near artifacts go before the percentile is taken.
+        found = waves.far_from_artifacts(found, filtered, float(p["proximity_amplitude"]), float(p.get("proximity_window", 1.0)), ["element"])
+    kept = waves.cascade(found, *bounds, p.get("ptp_threshold_mode", "adaptive"), p.get("ptp_percentile", 90), _thresholds(df, p), keys=["element"])
     return _waves(kept, df, p, ("Duration", "PTP", "Frequency", "Slope"))
 
 
