@@ -103,33 +103,54 @@ def _cuts(n, size=1024):
     return [(0, first)] + [(s, size) for s in range(first, n, size)]
 
 
-def test_best_fit_plan_matches_sequential_best_fit_decreasing():
+def sequential(lengths, size):
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        i = min((i for i, g in enumerate(gaps) if g >= length), key=lambda i: gaps[i], default=None)
+        if i is None:
+            gaps.append(size - length)
+        else:
+            gaps[i] -= length
+    return len(gaps)
+
+
+def packed(spark, lengths, size, range_rows):
+    rows = [(i, i % 7, 0, 0, n, 1) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.best_fit(df, size, jaccard.Scratch(spark, "fit"), range_rows).collect()
+    assert sorted(r["length"] for r in out) == sorted(lengths)
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        end = 0
+        for o, n in sorted(parts):
+            assert o == end
+            end += n
+        assert end <= size
+    return len(by)
+
+
+@pytest.mark.parametrize("kind", ["even", "tiny", "ties"])
+def test_sweeps_match_sequential_best_fit_decreasing(spark, kind):
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        lengths = rng.integers(1, 101, 400)
-        counts = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
-        plan = packing.best_fit_plan(counts, 100)
-        fill, placed = {}, 0
-        for length, a, b, seq, offset in plan:
-            for k in range(b - a):
-                fill.setdefault(seq + k, []).append((offset, length))
-            placed += b - a
-        assert placed == 400
-        for parts in fill.values():
-            end = 0
-            for o, n in sorted(parts):
-                assert o == end
-                end += n
-            assert end <= 100
-        gaps = []
-        for n in sorted(lengths.tolist(), reverse=True):
-            fits = [i for i, g in enumerate(gaps) if g >= n]
-            if fits:
-                i = min(fits, key=lambda i: gaps[i])
-                gaps[i] -= n
-            else:
-                gaps.append(100 - n)
-        assert len(fill) <= len(gaps) + 1
+    lengths = {"even": rng.integers(1, 101, 400), "tiny": np.concatenate([rng.integers(55, 90, 40), 1 + rng.integers(0, 4, 900)]), "ties": np.repeat([51, 34, 26, 20, 3, 100], [30, 60, 5, 200, 90, 4])}[kind].tolist()
+    want = sequential(lengths, 100)
+    assert packed(spark, lengths, 100, 10**6) == want
+    # Ranges of fifty rows: every border may cost a sequence.
+    assert packed(spark, lengths, 100, 50) <= want + len(lengths) // 50
+
+
+def test_equal_documents_fill_a_gap_before_the_next():
+    """Five documents of 256 in gaps of 1024: four in one, one in another."""
+    r = packing._Ranges(1024, True)
+    found, offsets = r.take([1] * 5, [256] * 5, list(range(5)))
+    assert found == [0, 0, 0, 0, 4] and offsets == [0, 256, 512, 768, 0]
+
+
+def test_left_documents_take_the_nearest_slots_before_them():
+    runs = packing.match_ranges([(0, 0, 3), (1, 1, 2), (2, 4, 0), (3, 2, 1)])
+    assert runs == [(0, 0, 2, 1, 0, 1), (1, 1, 0, 2, 0, 2), (2, 0, 0, 2, 2, 2)]
 
 
 # ---- mixing --------------------------------------------------------------------------------------
