@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("wavequill.llm")
 
@@ -446,6 +447,28 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_warc_files_do_not_depend_on_partitions(spark, tmp_path):
+    """20,000 rows in several files, negative and null ids, one id and one payload with a third of all rows: files are equal to the byte."""
+    i = F.col("id")
+    page = F.when(i % 3 == 0, 77).when(i % 1000 == 1, None).otherwise(i * i * 7919 - 10**10)
+    html = F.when(i % 3 == 1, F.repeat(F.lit("common "), 30)).otherwise(F.concat(F.sha2(i.cast("string"), 256), F.sha2((i + 1).cast("string"), 512)))
+    spark.range(20_000).select(page.alias("page_id"), F.concat(F.lit("http://x/"), i).alias("url"), html.alias("html")).repartition(9).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    listed = []
+    for name, df in (("a", pages), ("b", pages), ("c", pages.repartition(5)), ("d", pages.coalesce(1))):
+        manifest = warc.write(df, f"file://{tmp_path}/{name}", file_bytes=100_000, shard_bytes=400_000)
+        listed.append(sorted((r["file"].rpartition("/")[2], r["records"], r["sha256"]) for r in manifest.collect()))
+        for file, _, sha in listed[-1][:3]:
+            assert hashlib.sha256((tmp_path / name / file).read_bytes()).hexdigest() == sha
+    assert listed[0] == listed[1] == listed[2] == listed[3]
+    shards = {f.split("-")[1] for f, _, _ in listed[0]}
+    assert len(shards) > 12 and len(listed[0]) > len(shards)
+    # The id with a third of the rows is in several shards, as no record is much larger than the others.
+    assert max(sum(n for f, n, _ in listed[0] if f.split("-")[1] == s) for s in shards) < 2_000
+    out = warc.read(spark, f"file://{tmp_path}/a").cache()
+    assert out.count() == 20_000 and out.where("record_type = 'response'").count() == 13_334
+
+
 # ---- nearest neighbours --------------------------------------------------------------------------
 
 

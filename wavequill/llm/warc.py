@@ -6,18 +6,26 @@ import base64
 import hashlib
 import io
 import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, delete, pa_schema
+from ._common import Scratch, column, delete, pa_schema
 
 #: Compressed bytes at which a file is closed and the next one begins.
-FILE_BYTES = 8 << 20
+FILE_BYTES = 1 << 30
+#: Bytes of a shard's records before compression: so many at least, and as many as make up no more shards than this, or one cell more.
+SHARD_BYTES, MOST_SHARDS = 4 << 20, 16_384
+#: Digits of a record's key: 16 of the page_id and 64 of the payload's digest.
+KEY_DIGITS = 80
+#: Files that the commit renames at a time.
+RENAMES = 16
 #: Payloads shorter than this are always written in full.
 REVISIT_BYTES = 100
 #: All records carry this date, so that equal input gives equal files.
@@ -61,43 +69,98 @@ def _info() -> bytes:
     return packer.compress(head.encode() + body + b"\r\n\r\n") + packer.flush()
 
 
-def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+def _key() -> Column:
+    """page_id in sortable hexadecimal digits, null last, then the payload's digest: records are in the order of this text."""
+    # Without a sign bit the digits of negative ids come after those of others; flipping it puts them first.
+    page = F.lpad(F.lower(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
+    return F.concat(F.coalesce(page, F.lit("g" * 16)), F.sha2(F.col("html").cast("binary"), 256))
+
+
+def _shards(light: DataFrame, least: int) -> tuple[list[tuple[str, int]], int]:
+    """(beginning of a key, shard) for all keys, and the number of shards, from exact sums of bytes by beginnings.
+
+    Cells are keys that begin alike. Cells above the size of a shard are cut by one digit more, again and again, so that an id
+    with very many rows is cut by digests; neighbouring cells then make up shards. Nothing is sampled: equal
+    rows give equal shards. There are at most ``MOST_SHARDS`` shards or so, and 16 times as many cells.
+    """
+    all_ = light.agg(F.min("key").alias("a"), F.max("key").alias("b"), F.sum("n").alias("n")).first()
+    if all_["a"] is None:
+        return [], 0
+    size = max(least, -(-all_["n"] // MOST_SHARDS))
+    length = 1 + len(os.path.commonprefix([all_["a"], all_["b"]]))
+    wanted = size
+    while wanted < all_["n"] and length < KEY_DIGITS:
+        length, wanted = length + 1, wanted * 16
+    cells: list[tuple[str, int]] = []
+    rest = light
+    while True:
+        begin = F.substring("key", 1, length)
+        found = rest.groupBy(begin.alias("cell")).agg(F.sum("n").alias("n")).collect()
+        whole = length >= KEY_DIGITS
+        cells += [(r["cell"], r["n"]) for r in found if r["n"] <= size or whole]
+        large = [(r["cell"],) for r in found if r["n"] > size and not whole]
+        if not large:
+            break
+        rest = light.join(F.broadcast(light.sparkSession.createDataFrame(large, "large string")), begin == F.col("large"), "left_semi")
+        length += 1
+    out, shard, filled = [], 0, 0
+    for cell, n in sorted(cells):
+        if filled and filled + n > size:
+            shard, filled = shard + 1, 0
+        out.append((cell, shard))
+        filled += n
+    return out, shard + 1
+
+
+def _with_shard(df: DataFrame, cells: list[tuple[str, int]]) -> DataFrame:
+    """The rows with the shard of their key: one small join for each length of cells."""
+    spark, shard = df.sparkSession, F.lit(None).cast("int")
+    for k, length in enumerate(sorted({len(c) for c, _ in cells})):
+        sent = F.broadcast(spark.createDataFrame([(c, n) for c, n in cells if len(c) == length], f"cell{k} string, shard{k} int"))
+        df = df.join(sent, F.substring("key", 1, length) == F.col(f"cell{k}"), "left").drop(f"cell{k}")
+        shard = F.coalesce(shard, F.col(f"shard{k}"))
+    return df.withColumn("shard", shard).drop(*(c for c in df.columns if re.fullmatch(r"shard\d+", c)))
+
+
+def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write a record for every row of page_id, url, html; returns the manifest, a row for each file.
 
     Of rows with equal payloads of ``REVISIT_BYTES`` or more, the one with the smallest page_id is a
     response, the others revisit it; null page_ids count as larger than any other. Rows with the same page_id and payload
     are one response and revisits of it. Null html is an empty payload.
 
-    Records are sorted by ranges of page_id; a range's files roll over by compressed size and are
-    named by range and number. Every attempt of a task writes under names of its own in
+    Records are in the order of page_id, payload digest and url, cut into shards by exact counts (``_shards``); a shard's files
+    roll over by compressed size and are named by shard and number. So equal rows give equal files, however they
+    are partitioned. Every attempt of a task writes under names of its own in
     ``_temporary``; only what finished tasks report is renamed, then the manifest is written the
     same way. So files without a manifest are never read, and a lost executor leaves nothing behind
     but temporary files, which the commit deletes.
     """
     spark = pages.sparkSession
     folder = folder.rstrip("/")
+    scratch = Scratch(spark, "warc-rows")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    long = rows.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    light = scratch.keep(rows.select("page_id", _key().alias("key"), (F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)) + 500).cast("long").alias("n"), (F.octet_length("html") >= REVISIT_BYTES).alias("long")), "light")
+    cells, shards = _shards(light, shard_bytes)
+    if not cells:
+        return _commit(spark, folder, [])
+    long = light.where("long").select("page_id", "key", F.substring("key", 17, 64).alias("digest"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
     firsts = long.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first"))
     # Which rows revisit, without their payloads; the sort below brings the two together in one shuffle.
-    marks = long.join(firsts, "digest").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first", F.lit(0).alias("kind")).distinct()
-    full = rows.select("page_id", "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind"))
-    sorted_ = marks.unionByName(full).repartitionByRange(F.col("page_id").asc_nulls_last()).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "kind", "digest", F.xxhash64("html"), "url")
+    marks = long.join(firsts, "digest").select("key", "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first", F.lit(0).alias("kind")).distinct()
+    full = rows.select(_key().alias("key"), "page_id", "url", "html", F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind"))
+    # Which tasks write which shards is up to samples; what is in a shard is not.
+    every = _with_shard(marks.unionByName(full), cells).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key", "kind", "url")
     schema = "shard int, number int, temporary string, records long, bytes long, sha256 string"
     out = pa_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
         attempt = uuid.uuid4().hex
-        done, stream, number = [], None, 0
-        size = records = 0
-        check = None
-        at: object = ()
-        known: dict[str, int | None] = {}
-        written: set[str] = set()
+        done: list[tuple] = []
+        stream = name = check = None
+        shard, number, size, records = -1, 0, 0, 0
+        key, first, marked, written = "", None, False, False
 
         def close() -> None:
             nonlocal stream, number
@@ -107,16 +170,17 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
                 stream, number = None, number + 1
 
         for batch in batches:
-            for page, url, html, digest, first, kind in zip(*(column(batch, c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "kind")), strict=True):
-                if page != at:
-                    at, known, written = page, {}, set()
+            for its, k, page, url, html, to, kind in zip(*(column(batch, c).to_pylist() for c in ("shard", "key", "page_id", "url", "html", "first", "kind")), strict=True):
+                if its != shard:
+                    close()
+                    shard, number = its, 0
+                if k != key:
+                    key, first, marked, written = k, None, False, False
                 if kind == 0:
-                    known[digest] = first
+                    first, marked = to, True
                     continue
-                payload = html.encode("utf-8")
-                hexed = hashlib.sha256(payload).hexdigest()
-                same = hexed in known and (known[hexed] != page or hexed in written)
-                written.add(hexed)
+                payload, hexed = html.encode("utf-8"), k[16:]
+                parts = []
                 if stream is None:
                     name = f"{folder}/_temporary/{attempt}/{shard:06d}-{number:06d}.warc.gz"
                     system, path = _open(name)
@@ -125,9 +189,8 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
                     size = records = 0
                     check = hashlib.sha256()
                     parts = [_info()]
-                else:
-                    parts = []
-                parts.append(_record(page, url, payload, hexed, known.get(hexed), same))
+                parts.append(_record(page, url, payload, hexed, first, marked and (first != page or written)))
+                written = True
                 for p in parts:
                     stream.write(p)
                     check.update(p)
@@ -139,24 +202,32 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*done, strict=True), out, strict=True)], schema=out)
 
-    # A row for each file of some megabytes: the manifest of 100 TB is a few million rows at 8 MB, fewer at larger sizes.
-    reported = sorted(tuple(r) for r in sorted_.mapInArrow(run, schema).collect())
+    # A row for each file: no more than MOST_SHARDS and the total over FILE_BYTES.
+    reported = sorted(tuple(r) for r in every.mapInArrow(run, schema).collect())
+    scratch.drop("light")
     return _commit(spark, folder, reported)
 
 
 def _commit(spark: SparkSession, folder: str, reported: list[tuple]) -> DataFrame:
-    made = []
+    """Rename what the tasks report, a few files at a time, then write the manifest."""
+    from concurrent.futures import ThreadPoolExecutor
+
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     system = path(folder).getFileSystem(conf)
     system.mkdirs(path(folder))
-    for shard, number, temporary, records, size, check in reported:
+
+    def publish(row: tuple) -> tuple:
+        shard, number, temporary, records, size, check = row
         final = f"{folder}/part-{shard:06d}-{number:06d}.warc.gz"
         if not system.rename(path(temporary), path(final)):
             system.delete(path(final), False)  # left by an earlier commit that did not end
             if not system.rename(path(temporary), path(final)):
                 raise OSError(f"can't rename {temporary}")
-        made.append((final, records, size, check))
+        return final, records, size, check
+
+    with ThreadPoolExecutor(RENAMES) as pool:
+        made = list(pool.map(publish, reported))
     lines = "".join(json.dumps({"file": f.rpartition("/")[2], "records": r, "bytes": b, "sha256": c}) + "\n" for f, r, b, c in made)
     stream = system.create(path(f"{folder}/_manifest.tmp"), True)
     stream.write(lines.encode())
