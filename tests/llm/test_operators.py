@@ -476,12 +476,14 @@ def test_search_recall_and_ties(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(3000, 16)).astype(np.float32)
     v[100:400] = v[100]  # equal vectors: ties go to smaller ids
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5020, []), (5040, [0.0] * 16), (5060, [float("nan")] * 16), (5080, [1.0] * 15), (5100, [None] * 16), (None, [1.0] * 16), (20, v[20].tolist())]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5020, []), (5040, [0.0] * 16), (5060, [float("nan")] * 16), (5080, [1.0] * 15), (5081, [2.0] * 15), (5082, [1.0] * 15), (5100, [None] * 16), (None, [1.0] * 16), (20, v[20].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as block", "'x' as kind")
     out = ann.search(df, k=20, every=20)
     by = {}
     for r in out.collect():
         by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    # Vectors of fifteen components meet each other.
+    assert sorted(by.pop(5080)) == [(1, 5081, 30.0), (2, 5082, 15.0)]
     assert sorted(by) == list(range(0, 3000, 20))
     exact = v.astype(float)
     hits = 0

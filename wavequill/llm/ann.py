@@ -17,6 +17,8 @@ from ._common import Scratch, column, pa_schema
 FIT_ROWS = 16_384
 #: Candidates of a block; a block is searched by one task at a time.
 BLOCK_ROWS = 4_096
+#: Candidates of each block that are reranked.
+SHORTLIST = 128
 
 
 @dataclass(frozen=True)
@@ -96,38 +98,70 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", n_books: int = 16, shortlist: int = 384) -> DataFrame:
+def index(rows: DataFrame, books: AdditiveCodebooks, scratch: Scratch, name: str = "index") -> DataFrame:
+    """rows of vec_id, vec, d with codes and scale, written once: scale is the vector's norm over that of its code.
+
+    Rows whose number of components is not that of the codebooks have null codes.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(books)
+    schema = "vec_id long, vec array<double>, d int, codes binary, scale float"
+    out = pa_schema(rows.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = sent.value
+        for batch in batches:
+            d = column(batch, "d").to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(d == books.books.shape[2])
+            codes: list = [None] * len(d)
+            scale = np.ones(len(d), np.float32)
+            if len(at):
+                x = column(batch, "vec").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+                found = books.encode(x.astype(np.float32))
+                about = np.sqrt((books.decode(found).astype(np.float64) ** 2).sum(axis=1))
+                scale[at] = np.sqrt((x**2).sum(axis=1)) / np.maximum(about, 1e-12)
+                for i, c in zip(at.tolist(), found, strict=True):
+                    codes[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "vec"), column(batch, "d"), pa.array(codes, pa.binary()), pa.array(scale)], schema=out)
+
+    return scratch.keep(rows.mapInArrow(run, schema), name)
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", n_books: int = 16, shortlist: int = SHORTLIST) -> DataFrame:
     """The k nearest rows by inner product of each row whose id is divisible by ``every``.
 
-    Returns query_id, rank (from 1), vec_id and score. All rows are encoded; each block of
-    candidates keeps its codes and stored norms. A query scores every code of a block from
-    lookup tables, scaled by true over quantised norm, and the ``shortlist`` best are reranked by
-    exact inner products in double precision, ties to the smaller id. The query set meets all rows
-    in blocks; blocks give k rows a query at most.
-
-    Rows whose vector is null, empty, zero or holds null or non-finite components take no part,
-    nor do those whose number of components is not the commonest one. Rows with the same id and
-    vector count once; with the same id and other vectors they are queries and candidates of their own, but never
-    candidates of their id's query. Of equal vectors in a block only the k + 1 smallest ids are scored: no other can be among
-    a query's nearest. Fewer candidates than k give fewer rows, an empty table none.
+    Returns query_id, rank (from 1), vec_id and score. All rows are encoded once, and codes and norms are stored (``index``).
+    A query scores every code of a block of candidates from lookup tables, scaled by true over quantised norm, and the
+    block's ``shortlist`` best are reranked by exact inner products in double precision, ties to the smaller id. The
+    query set meets all rows in blocks, which are of equal size and dealt to tasks in order; blocks give k rows a query at most.
+
+    Rows whose vector is null, empty, zero or holds null or non-finite components take no part. Rows meet those with as many
+    components; the codebooks are for the commonest number of them, and the few rows of other numbers are scored exactly.
+    Rows with the same id and vector count once; with the same id and other vectors they are queries and candidates of
+    their own, but never candidates of their id's query. Of equal vectors in a block only the k + 1 smallest ids are scored:
+    no other can be among a query's nearest. Fewer candidates than k give fewer rows, an empty table none.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    rows = scratch.keep(usable(vectors, id_col, vector_col).distinct(), "rows")
-    dims = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    rows = scratch.keep(usable(vectors, id_col, vector_col).distinct().withColumn("d", F.size("vec")), "rows")
+    sizes = sorted((r["d"], r["n"]) for r in rows.groupBy("d").agg(F.count("*").alias("n")).collect())
     schema = "query_id long, vec_id long, score double"
-    if not dims:
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, total = dims[0]["d"], dims[0]["n"]
-    rows = rows.where(F.size("vec") == d)
-    sample = np.array([r["vec"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()], np.float32)
-    books = spark.sparkContext.broadcast(fit(sample, n_books))
-
-    blocks = -(-total // BLOCK_ROWS)
-    candidates = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "vec_id", "vec")
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), "vec_id", "vec")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    units = candidates.unionByName(queries).repartition(n, "block").sortWithinPartitions("block", "kind", "vec_id")
+    d = max(sizes, key=lambda x: (x[1], -x[0]))[0]
+    sample = np.array([r["vec"] for r in rows.where(F.col("d") == d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()], np.float32)
+    books = fit(sample, n_books)
+    stored = index(rows, books, scratch)
+    scratch.drop("rows")
+    sent = spark.sparkContext.broadcast(books)
+
+    # Numbers of blocks by number of components, and the first block of each.
+    counts = [-(-n // BLOCK_ROWS) for _, n in sizes]
+    dealt = F.broadcast(spark.createDataFrame([(x, sum(counts[:i]), c) for i, ((x, _), c) in enumerate(zip(sizes, counts, strict=True))], "d int, base long, blocks long"))
+    met = stored.join(dealt, "d")
+    candidates = met.select((F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).alias("block"), F.lit(0).alias("kind"), "vec_id", "vec", "codes", "scale")
+    each = F.explode(F.sequence(F.col("base"), F.col("base") + F.col("blocks") - 1)).alias("block")
+    queries = met.where(F.col("vec_id") % every == 0).select(each, F.lit(1).alias("kind"), "vec_id", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("scale"))
+    units = candidates.unionByName(queries).repartitionByRange(sum(counts), "block").sortWithinPartitions("block", "kind", "vec_id")
     out = pa_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,21 +170,21 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             at = column(batch, "block").to_numpy(zero_copy_only=False)
             kind = column(batch, "kind").to_numpy(zero_copy_only=False)
             ids = column(batch, "vec_id").to_numpy(zero_copy_only=False)
-            vec = column(batch, "vec")
-            vec = vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            vec, codes, scale = (column(batch, c) for c in ("vec", "codes", "scale"))
             edge = np.flatnonzero((np.diff(at) != 0) | (np.diff(kind) != 0)) + 1
             for a, b in zip([0, *edge], [*edge, len(at)], strict=True):
                 if at[a] != block:
                     block, held, index = at[a], [], None
+                x = vec.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
                 if kind[a] == 0:
-                    held.append((ids[a:b], vec[a:b]))
+                    held.append((ids[a:b], x, codes.slice(a, b - a).to_pylist(), scale.slice(a, b - a).to_numpy(zero_copy_only=False)))
                     continue
                 if index is None:
                     if not held:
                         continue
-                    index = _Block(books.value, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), k)
-                for x in range(a, b, 256):
-                    q, v, s = index.nearest(ids[x : min(b, x + 256)], vec[x : min(b, x + 256)], k, shortlist)
+                    index = _Block(sent.value, *(np.concatenate([h[i] for h in held]) for i in (0, 1)), [c for h in held for c in h[2]], np.concatenate([h[3] for h in held]), k)
+                for i in range(0, b - a, 256):
+                    q, v, s = index.nearest(ids[a + i : min(b, a + i + 256)], x[i : i + 256], k, shortlist)
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], schema=out)
 
     found = units.mapInArrow(run, schema)
@@ -159,29 +193,32 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
 
 
 class _Block:
-    """Codes, stored norms and vectors of one block of candidates."""
+    """Stored codes and scales and the vectors of one block of candidates."""
 
-    def __init__(self, books: AdditiveCodebooks, ids: np.ndarray, vec: np.ndarray, k: int):
+    def __init__(self, books: AdditiveCodebooks, ids: np.ndarray, vec: np.ndarray, codes: list[bytes | None], scale: np.ndarray, k: int):
         _, same = np.unique(vec, axis=0, return_inverse=True)
         order = np.lexsort((ids, same.ravel()))
         group = same.ravel()[order]
         place = np.arange(len(order)) - np.searchsorted(group, group)
         keep = np.sort(order[place <= k])
         keep = keep[np.argsort(ids[keep], kind="stable")]
-        self.ids, self.vec, self.books = ids[keep], vec[keep], books
-        x = self.vec.astype(np.float32)
-        codes = books.encode(x)
-        self.norms = np.sqrt((self.vec**2).sum(axis=1))  # stored norms: of the vectors, against those of the codes
-        about = np.sqrt((books.decode(codes).astype(np.float64) ** 2).sum(axis=1))
-        self.scale = (self.norms / np.maximum(about, 1e-12)).astype(np.float32)
-        self.codes = np.ascontiguousarray(codes.T)
-
-    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.ids, self.vec, self.books, self.scale = ids[keep], vec[keep], books, scale[keep]
+        own = [codes[i] for i in keep.tolist()]
+        self.codes = None if None in own else np.ascontiguousarray(np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1).T)
+
+    def about(self, queries: np.ndarray) -> np.ndarray:
+        """Scores from lookup tables, or exact ones where there are no codes."""
+        if self.codes is None:
+            return queries @ self.vec.T
         tables = self.books.tables(queries.astype(np.float32))
-        about = np.zeros((len(queries), len(self.ids)), np.float32)
+        out = np.zeros((len(queries), len(self.ids)), np.float32)
         for m in range(len(tables)):
-            about += tables[m][:, self.codes[m]]
-        about *= self.scale
+            out += np.take(tables[m], self.codes[m], axis=1)
+        out *= self.scale
+        return out
+
+    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        about = self.about(queries)
         about[ids[:, None] == self.ids[None, :]] = -np.inf
         n = min(shortlist, len(self.ids))
         # Equal scores at the shortlist's end go to smaller ids: columns are in order of id.
