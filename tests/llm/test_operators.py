@@ -254,6 +254,20 @@ def test_components_of_long_chains(spark):
     assert {r["node"]: r["component"] for r in out.collect()} == want and out.count() == len(want)
 
 
+@pytest.mark.parametrize("step", [1, 5])
+def test_chained_corpora_are_one_class(spark, step):
+    """Texts of 90 words, each ``step`` words on from the one before: one class, and every link of brute force."""
+    texts = [" ".join(f"w{i * step + j}" for j in range(90)) for i in range(700)]
+    order = np.random.default_rng(7).permutation(len(texts)).tolist()
+    out = jaccard.similar_classes(spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id long, text string"))[0].collect()
+    assert {r["class_id"] for r in out} == {0}
+    # 86 shingles, of which texts d places apart share 86 - step * d.
+    reach = max(d for d in range(1, 20) if (86 - step * d) >= 0.8 * (86 + step * d) - 1e-9)
+    want = {order[i]: min(i, reach) + min(len(texts) - 1 - i, reach) for i in range(len(texts))}
+    got = {r["doc_id"]: r["n_links"] for r in out}
+    assert got == want
+
+
 # ---- classifiers ---------------------------------------------------------------------------------
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_map, column, documents, pa_schema, strings
@@ -21,8 +21,8 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 #: A pair is dropped when the probability that it reaches the threshold is below this.
 TOLERANCE = 1e-6
-#: Texts and shingles in a block of candidates; two blocks are compared at once.
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 20
+#: Texts and shingles in a block of a band's candidates; two blocks are compared at once, so many pairs at a time.
+BLOCK_TEXTS, BLOCK_SHINGLES, TILE = 2_048, 1 << 20, 512
 #: Up to so many candidate texts their (id, digest) pairs are sent to all tasks (some 20 MB); more are joined by a shuffle.
 SENT_ROWS = 200_000
 
@@ -147,7 +147,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     order = np.argsort(number, kind="stable")
     number, row_of = number[order], row_of[order]
     total = np.zeros((len(use_l), len(use_r)), np.float64)
-    width = 4096
+    width = 2048
     for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
         lo, hi = np.searchsorted(number, (a, a + width))
         dense = np.zeros((len(use_l) + len(use_r), width), np.float32)
@@ -156,18 +156,31 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     return total[np.searchsorted(use_l, i), np.searchsorted(use_r, j)].round().astype(np.int64)
 
 
-def links_of(left: dict, right: dict | None, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of two blocks (or within one): candidates by equal bands, pruned, then exact."""
+def candidates(left: np.ndarray, right: np.ndarray | None, band: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks of signatures (or within one) that equal each other in ``band`` and no band before it, and survive pruning."""
     other = left if right is None else right
-    a, b = band_keys(left["sig"]), band_keys(other["sig"])
-    mask = np.zeros((len(a), len(b)), bool)
-    for k in range(BANDS):
-        mask |= a[:, k][:, None] == b[:, k][None, :]
-    if right is None:
-        mask = np.triu(mask, 1)
-    i, j = np.nonzero(mask)
-    alive = prune(left["sig"], other["sig"], i, j, threshold, tolerance)
-    i, j = i[alive], j[alive]
+    a, b = band_keys(left), band_keys(other)
+    found = []
+    for x in range(0, len(a), TILE):
+        for y in range(x if right is None else 0, len(b), TILE):
+            p, q = a[x : x + TILE], b[y : y + TILE]
+            mask = p[:, band][:, None] == q[:, band][None, :]
+            if right is None and x == y:
+                mask = np.triu(mask, 1)
+            for k in range(band):  # such a pair is another band's
+                mask &= p[:, k][:, None] != q[:, k][None, :]
+            i, j = np.nonzero(mask)
+            alive = prune(left, other, i + x, j + y, threshold, tolerance)
+            found.append((i[alive] + x, j[alive] + y))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def links_of(left: dict, right: dict | None, band: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of two blocks (or within one): surviving candidates, then exact."""
+    other = left if right is None else right
+    i, j = candidates(left["sig"], None if right is None else right["sig"], band, threshold, tolerance)
+    if not len(i):
+        return i, j
     both = overlaps(left["shingles"], other["shingles"], i, j)
     union = np.array([len(x) for x in left["shingles"]])[i] + np.array([len(x) for x in other["shingles"]])[j] - both
     linked = both >= threshold * union - 1e-9
@@ -191,23 +204,67 @@ def _forest(nodes: list[int], i: np.ndarray, j: np.ndarray, right: list[int]) ->
             yield nodes[a], right[b]
 
 
-def _verify(batches: Iterator[pa.RecordBatch], out: pa.Schema, threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit and side: links are found a unit at a time, so that no more is held."""
+def _each_unit(batches: Iterator[pa.RecordBatch], out: pa.Schema, columns: tuple[str, ...], emit: Callable[[tuple, list[list[tuple]]], dict | None]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit and side, given to ``emit`` a unit at a time, so that no more is held: the unit, and the rows of each side.
+
+    A block may be empty: a unit of two blocks of which one is has no pairs, and the other's own are found within it.
+    """
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch | None:
+        _, _, low, high = unit = held[0][0]
+        sides = [[r[2:] for r in held if r[1] == side] for side in (0, 1)]
+        cols = emit(unit, sides) if len(held) > 1 and sides[0] and (low == high or sides[1]) else None
+        return cols and pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out], schema=out)
+
+    unit, held = None, []
+    for batch in batches:
+        units = zip(*(column(batch, c).to_pylist() for c in _UNIT), strict=True)
+        for at, side, *row in zip(units, *(column(batch, c).to_pylist() for c in ("side", *columns)), strict=True):
+            if at != unit and held:
+                if found := batch_of(held):
+                    yield found
+                held = []
+            unit = at
+            held.append((at, side, *row))
+    if held and (found := batch_of(held)):
+        yield found
+
+
+_UNIT = ("band", "key", "low", "high")
 
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(column(batch, c).to_pylist() for c in ("unit", "side", "node", "copies", "sig", "shingles", "within")), strict=True)
 
-    def emit(held: list[tuple]) -> pa.RecordBatch | None:
-        sides = []
-        for s in (0, 1):
-            own = [r for r in held if r[1] == s]
-            sides.append({"node": [r[2] for r in own], "copies": np.array([r[3] for r in own], np.int64), "sig": np.array([np.frombuffer(r[4], np.uint32) for r in own]).reshape(len(own), HASHES), "shingles": [np.frombuffer(r[5], np.uint64) for r in own]} if own else None)
+def _signature_array(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint32).reshape(len(rows), HASHES)
+
+
+def _survivors(units: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """The units' nodes that have a surviving partner in the unit: the others need no texts."""
+    schema = "band int, key long, low long, high long, side int, node long"
+    out = pa_schema(units.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _each_unit(batches, out, ("node", "sig"), emit)
+
+    def emit(unit: tuple, sides: list[list[tuple]]) -> dict | None:
         left, right = sides
-        # A block may be empty: two blocks of which one is give nothing, and the other's own links are found within it.
-        if left is None or len(held) < 2 or (right is None and not held[0][6]):
+        i, j = candidates(_signature_array([r[1] for r in left]), _signature_array([r[1] for r in right]) if right else None, unit[0], threshold, tolerance)
+        if not len(i):
             return None
-        i, j = links_of(left, right, threshold, tolerance)
+        ends = [np.unique(i), np.unique(j)] if right else [np.unique(np.concatenate([i, j])), []]
+        rows = [(side, sides[side][k][0], *unit) for side in (0, 1) for k in ends[side]]
+        return dict(zip(("side", "node", *_UNIT), zip(*rows, strict=True), strict=True))
+
+    return units.mapInArrow(run, schema)
+
+
+def _links(units: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """node, links: a node's linked rows in a unit; node, partner: a spanning forest of a unit's links."""
+    schema = "node long, partner long, links long"
+    out = pa_schema(units.sparkSession, schema)
+
+    def emit(unit: tuple, sides: list[list[tuple]]) -> dict | None:
+        left, right = ({"node": [r[0] for r in own], "copies": np.array([r[1] for r in own], np.int64), "sig": _signature_array([r[2] for r in own]), "shingles": [np.frombuffer(r[3], np.uint64) for r in own]} if own else None for own in sides)
+        i, j = links_of(left, right, unit[0], threshold, tolerance)
         if not len(i):
             return None
         other = left if right is None else right
@@ -218,19 +275,9 @@ def _verify(batches: Iterator[pa.RecordBatch], out: pa.Schema, threshold: float,
                     links[nodes[k]] = links.get(nodes[k], 0) + n
         edges = list(_forest(left["node"], i, j, other["node"]))
         # Link counts are rows without a partner, edges are rows without a count.
-        cols = {"node": [*links, *(a for a, _ in edges)], "partner": [*[None] * len(links), *(b for _, b in edges)], "links": [*links.values(), *[0] * len(edges)]}
-        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out], schema=out)
+        return {"node": [*links, *(a for a, _ in edges)], "partner": [*[None] * len(links), *(b for _, b in edges)], "links": [*links.values(), *[0] * len(edges)]}
 
-    unit, held = None, []
-    for r in rows():
-        if r[0] != unit and held:
-            if (found := emit(held)) is not None:
-                yield found
-            held = []
-        unit = r[0]
-        held.append(r)
-    if held and (found := emit(held)) is not None:
-        yield found
+    return units.mapInArrow(lambda batches: _each_unit(batches, out, ("node", "copies", "sig", "shingles"), emit), schema)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -261,18 +308,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
-def _bands(reps: DataFrame) -> DataFrame:
-    def make():
-        def one(batch: pa.RecordBatch) -> dict:
-            sig = np.array([np.frombuffer(x, np.uint32) for x in column(batch, "sig").to_pylist()]).reshape(-1, HASHES)
-            node = column(batch, "node").to_numpy(zero_copy_only=False)
-            return {"band": band_keys(sig).view(np.int64).ravel(), "node": np.repeat(node, BANDS)}
-
-        return one
-
-    return arrow_map(reps.select("node", "sig"), make, "band long, node long")
-
-
 def _signatures(docs: DataFrame) -> DataFrame:
     import xxhash
 
@@ -285,13 +320,17 @@ def _signatures(docs: DataFrame) -> DataFrame:
             for t in strings(batch):
                 if t not in known:
                     s = shingle(t)
-                    known[t] = (xxhash.xxh3_128_digest(s.tobytes()), len(s), minhash(s).tobytes()) if len(s) else (None, 0, None)
+                    known[t] = (xxhash.xxh3_128_digest(s.tobytes()), len(s), minhash(s)) if len(s) else (None, 0, None)
                 got.append(known[t])
-            return {"doc_id": column(batch, "doc_id"), "mark": column(batch, "mark"), "print": [g[0] for g in got], "n": [g[1] for g in got], "sig": [g[2] for g in got]}
+            keys = iter(band_keys(np.array([g[2] for g in got if g[1]])).view(np.int64).tolist()) if any(g[1] for g in got) else iter(())
+            return {
+                "doc_id": column(batch, "doc_id"), "mark": column(batch, "mark"), "print": [g[0] for g in got], "n": [g[1] for g in got],
+                "sig": [g[2].tobytes() if g[1] else None for g in got], "keys": [next(keys) if g[1] else None for g in got],
+            }
 
         return one
 
-    return arrow_map(docs, make, "doc_id long, mark binary, print binary, n long, sig binary")
+    return arrow_map(docs, make, "doc_id long, mark binary, print binary, n long, sig binary, keys array<long>")
 
 
 def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, Scratch]:
@@ -301,11 +340,12 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     that a chain of links reaches; n_links counts the other rows that the row is similar to itself.
 
     1. Rows with the same shingle set are one node with a number of copies: exact copies never meet as pairs.
-    2. Nodes that share a MinHash band form candidate groups (components of the band graph).
-    3. Groups are cut into blocks bounded in texts and shingles; a unit of work is two blocks of a
-       group. In a unit, pairs that share a band are compared by MinHash values a band at a time
-       and dropped as soon as the posterior probability of reaching the threshold is below
-       ``tolerance``; the others are compared exactly. Units give counts by node and a spanning forest, never pairs.
+    2. The nodes of a MinHash band's value are a group of candidates; of groups with the same nodes the first band's stays. Groups
+       are cut into blocks bounded in texts and shingles; a unit of work is two blocks of a group. A pair belongs to the first
+       band that it shares, so that no pair is compared in two groups, and chains of groups are never followed.
+    3. In a unit, pairs are compared by MinHash values a band at a time and dropped as soon as the posterior probability
+       of reaching the threshold is below ``tolerance``. Shingles join only nodes of which a pair is left, and those pairs
+       are compared exactly. Units give counts by node and a spanning forest, never pairs.
     4. Classes are the components of the forests.
 
     Null and empty texts and texts without words have no shingles, are similar to none and are a class of their
@@ -316,21 +356,12 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     docs = _marked(docs)
     rows = scratch.keep(_signatures(docs), "rows")
     # All rows of one print have the same values, whichever is taken.
-    some = rows.where("print is not null").groupBy("print").agg(F.count("*").alias("copies"), F.min(_first()).alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    some = rows.where("print is not null").groupBy("print").agg(F.count("*").alias("copies"), F.min(_first()).alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("keys").alias("keys"))
     nodes = scratch.keep(some.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    bands = _bands(nodes)
-    met = bands.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("band", "b")
-    # At most BANDS minima a node: it is tied to the smallest, and the others are, which joins the same groups with far fewer edges.
-    stars = bands.join(met, "band").where("node <> b").groupBy("node").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-    least = F.element_at("bs", 1)
-    ties = stars.select(F.explode(F.array_append(F.slice("bs", 2, BANDS), F.col("node"))).alias("a"), least.alias("b")).distinct()
-    groups = components(ties, scratch, "groups")
-
-    units = _units(spark, docs, nodes, groups, scratch)
-    schema = "node long, partner long, links long"
-    out = pa_schema(spark, schema)
-    found = scratch.keep(units.mapInArrow(lambda batches: _verify(batches, out, threshold, tolerance), schema), "found")
+    members = _members(nodes, scratch)
+    left = scratch.keep(_survivors(_by_unit(members.join(nodes.select("node", "sig"), "node")), threshold, tolerance), "survivors")
+    found = scratch.keep(_links(_by_unit(_with_shingles(docs, nodes, left)), threshold, tolerance), "found")
     classes = components(found.where("partner is not null").select(F.col("node").alias("a"), F.col("partner").alias("b")), scratch, "classes")
     links = found.where("partner is null").groupBy("node").agg(F.sum("links").alias("links"))
 
@@ -355,29 +386,39 @@ def _marked(docs: DataFrame) -> DataFrame:
     return documents(docs, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("mark"))
 
 
-def _units(spark: SparkSession, docs: DataFrame, nodes: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """unit, side, node, copies, sig, shingles, within (one block or two): the rows of each pair of blocks, sorted within partitions by unit."""
-    member = groups.join(nodes.select("node", "copies", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark")), "node")
-    size = member.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    member = scratch.keep(member.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "members")
+def _members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """band, key, low, high, side, node: which nodes are in which units."""
+    each = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    # Two sums of hashes tell whether groups have the same nodes.
+    groups = each.groupBy("band", "key").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2))).where("c > 1")
+    first = groups.groupBy("c", "x1", "x2").agg(F.min(F.struct("band", "key", "n")).alias("g"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_TEXTS), F.ceil(F.col("g.n") / BLOCK_SHINGLES)).cast("long")
+    cut = first.select("g.band", "g.key", blocks.alias("blocks"))
+    held = each.join(cut, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(0)), F.col("blocks")))
+    met = held.withColumn("with_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "with_"), F.greatest("block", "with_")
+    return scratch.keep(met.select("band", "key", low.alias("low"), high.alias("high"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "node"), "members")
+
+
+def _by_unit(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *_UNIT).sortWithinPartitions(*_UNIT, "side", "node")
+
+
+def _with_shingles(docs: DataFrame, nodes: DataFrame, left: DataFrame) -> DataFrame:
+    """The units' rows with copies, signatures and shingles, from the texts that stand for these nodes."""
 
-    # The texts once more, only of the rows that stand for candidate nodes.
     def make():
         shingle = Shingler()
         return lambda batch: {"mark": column(batch, "mark"), "shingles": [shingle(t).tobytes() for t in strings(batch)]}
 
-    wanted = member.select(F.col("doc_id").alias("w_doc"), F.col("mark").alias("w_mark"))
+    needed = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "copies", "sig", F.col("first.doc_id").alias("w_doc"), F.col("first.mark").alias("w_mark"))
+    wanted = needed.select("w_doc", "w_mark")
     if wanted.count() <= SENT_ROWS:
         wanted = F.broadcast(wanted)
-    needed = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("mark") == F.col("w_mark")), "left_semi")
-    texts = arrow_map(needed, make, "mark binary, shingles binary").dropDuplicates(["mark"])
-    rows = member.drop("doc_id").join(texts, "mark").join(nodes.select("node", "sig"), "node")
-    each = rows.withColumn("with_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("block", "with_"), F.greatest("block", "with_")
-    side = F.when(F.col("block") == low, 0).otherwise(1)
-    out = each.select(F.xxhash64("component", low, high).alias("unit"), side.alias("side"), "node", "copies", "sig", "shingles", (low == high).alias("within"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, "unit").sortWithinPartitions("unit", "side", "node")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("mark") == F.col("w_mark")), "left_semi")
+    shingled = arrow_map(texts, make, "mark binary, shingles binary").dropDuplicates(["mark"])
+    return left.join(needed.select("node", "copies", "sig", F.col("w_mark").alias("mark")).join(shingled, "mark").drop("mark"), "node")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
