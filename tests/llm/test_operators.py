@@ -327,6 +327,80 @@ def test_quality_on_held_out_rows(corpus, docs, empty):
     assert quality.quality(empty, none).count() == 0
 
 
+def test_toxicity_scores_equal_brute_force(docs):
+    rng = np.random.default_rng(1)
+    words = sorted({w for _, t in TEXTS for w in re.findall(r"[^\W\d_]+", (t or "").lower())})[::2]
+    model = toxicity.OrdinalModel({w: i for i, w in enumerate([*words, "twel-", "apach-"])}, rng.normal(size=len(words) + 2), np.array([-0.5, 0.4, 1.0]))
+    got = rows_of(toxicity.score(docs, model), "doc_id", "expected_severity", "grade", "p_toxic", "toxic")
+    want = []
+    for i, t in TEXTS:
+        found = set()
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            found |= {w} | {w[:n] + "-" for n in (4, 5, 6) if len(w) > n}
+        z = sum(model.weights[model.vocabulary[f]] for f in found if f in model.vocabulary)
+        over = [1 / (1 + np.exp(c - z)) for c in model.cuts]
+        p = [1 - over[0], over[0] - over[1], over[1] - over[2], over[2]]
+        want.append((i, sum(over), int(np.argmax(p)), over[0], bool(over[0] >= 0.5)))
+    for a, b in zip(got, sorted(want, key=repr), strict=True):
+        assert a[0] == b[0] and a[2] == b[2] and a[4] == b[4] and np.allclose([a[1], a[3]], [b[1], b[3]])
+
+
+def test_rare_toxicity_keeps_its_rows(spark):
+    """Two in a hundred rows are toxic and the sample is small: it holds them all, and the cuts still tell the whole labels' share."""
+    rows = [(i, ("vile " if i % 50 == 0 else "kind ") + f"w{i % 13}x text of words") for i in range(3000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 50 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_rows=200)
+    assert model.weights[model.vocabulary["vile"]] > 0 > model.weights[model.vocabulary["kind"]]
+    out = toxicity.score(docs, model)
+    assert {r["doc_id"] for r in out.where("toxic").select("doc_id").collect()} == set(range(0, 3000, 50))
+
+
+def naive_line_features(text):
+    out, seen = [], []
+    for line in text.split("\n"):
+        b = line.encode()
+        n = lambda members: sum(x in members for x in b)
+        capital = n(range(65, 91)) + sum(b[k] == 0xC3 and 0x80 <= b[k + 1] <= 0x9E for k in range(len(b) - 1))
+        letters = n([*range(65, 91), *range(97, 123), *range(128, 256)])
+        digit, mark, symbol, pipe, loud, blank = n(range(48, 58)), n(b".,;:'\"-()?"), n(b"*%$&#@^~=+<>{}[]\\/_`"), n(b"|"), n(b"!"), n([9, 11, 12, 13, 32])
+        words = re.split(rb"[\t\x0b\x0c\r ]+", b.strip(b"\t\x0b\x0c\r ")) if b.strip(b"\t\x0b\x0c\r ") else []
+        size = max(len(b), 1)
+        other = max(size - max(letters, 1) - digit - mark - symbol - pipe - loud - blank, 0)
+        same = sum(x == y for x, y in zip(words, words[1:]))
+        again = float(len(b) > 0 and words in seen)
+        seen.append(words)
+        out.append([1, capital / max(letters, 1), digit / size, mark / size, (symbol / size) ** 0.5, (pipe / size) ** 0.5, (loud / size) ** 0.5, other / size, blank / size, same / max(len(words) - 1, 1), again, np.log1p(len(b)), float(len(words) < 4), min(len(b) / max(len(words), 1), 40) / 10, float(letters == 0)])
+    return np.array(out, float)
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """Features line by line, and marginals by summing over all labellings of a text's lines."""
+    rng = np.random.default_rng(4)
+    d = 3 * len(quality.FEATURES)
+    model = quality.LineCrf(rng.normal(size=d) * 0.1, rng.uniform(0.5, 2, d), rng.normal(size=d) * 0.5, rng.normal(size=(2, 2)), -3.0, 1.5)
+    texts = ["One line.", None, "", "A b\nA b\n!!! LOUD ÉTÉ | 12\n\nlast last last one", "x\n" * 6, "tabs\tand ümlauts, (marks) #1\r\nnext", "Word " * 40 + "\nend"]
+    got = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), model).collect()}
+    for i, t in enumerate(texts):
+        x = naive_line_features(t or "")
+        pad = np.vstack([np.zeros(x.shape[1]), x, np.zeros(x.shape[1])])
+        z = (np.hstack([x, pad[:-2], pad[2:]]) - model.mean) / model.spread
+        u, n = z @ model.weights, len(x)
+        total, marginal = 0.0, np.zeros(n)
+        for s in np.ndindex(*[2] * n):
+            v = np.exp(sum(u[k] * s[k] for k in range(n)) + sum(model.step[s[k - 1], s[k]] for k in range(1, n)))
+            total, marginal = total + v, marginal + v * np.array(s)
+        length = np.array([max(len(line.encode()), 1) for line in (t or "").split("\n")])
+        bad = (marginal / total * length).sum() / length.sum()
+        want = 1 / (1 + np.exp(-(1.5 - 3.0 * bad)))
+        assert abs(got[i]["score"] - want) < 1e-9 and got[i]["predicted"] == int(want >= 0.5) and got[i]["held_out"] == held_out(i), t
+
+
+def test_quality_fit_is_bounded_in_lines(corpus):
+    rows = corpus[0].withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.repeat(F.lit("A line of words.\n"), 5000)).otherwise(F.col("text")))
+    out = {r["doc_id"]: r["predicted"] for r in quality.score(rows, quality.fit(rows, corpus[1], max_lines=2400)).collect()}
+    assert np.mean([out[i] == (i % 5 != 0) for i in out if held_out(i) and i % 50]) >= 0.98
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
     lines = np.array([3, 1, 4])

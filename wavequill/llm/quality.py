@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_map, column, documents, strings
 
-#: Labelled rows that a fit uses at most, taken in order of a hash of doc_id.
-FIT_ROWS = 4_000
+#: Labelled rows that a fit uses at most, taken in order of a hash of doc_id, and their lines (the driver holds some 500 bytes for each).
+FIT_ROWS, FIT_LINES = 4_000, 400_000
 
 FEATURES = ("bias", "upper", "digit", "mark", "symbol", "pipe", "loud", "other", "blank", "repeat", "again", "log_length", "short", "word_length", "no_letters")
 
@@ -207,11 +207,12 @@ def train(x: np.ndarray, length: np.ndarray, lines: np.ndarray, good: np.ndarray
     return LineCrf(mean, spread, w, step, float(slope), float(base))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = FIT_ROWS) -> LineCrf:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = FIT_ROWS, max_lines: int = FIT_LINES) -> LineCrf:
     """Fit on at most ``max_rows`` labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     Half of the rows are bad ones at most and half good ones at most, as far as there are so many.
-    The driver gets the features of these rows' lines. With labels of one kind only, or
+    The driver gets the features of these rows' lines; rows are taken while their lines fit into ``max_lines``, each kind
+    into half of it, and a row that doesn't fit is left out for those after it. With labels of one kind only, or
     none, the model gives 1 (or 0) throughout.
     """
     spark = docs.sparkSession
@@ -232,7 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
     scratch = Scratch(spark, "quality")
     kept = scratch.keep(sample.select("text", "y", F.xxhash64("doc_id", "text").alias("key")), "sample")
-    rows = sorted((r["key"], r["y"], r["x"], r["length"]) for r in arrow_map(kept, make, "y int, x binary, length binary, key long").collect())
+    room, taken = {True: max_lines // 2, False: max_lines // 2}, []
+    for r in kept.select("key", (F.col("y") > 0).alias("side"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines")).orderBy("key", "lines").collect():  # max_rows rows
+        n = r["lines"] or 1
+        if n <= room[r["side"]]:
+            room[r["side"]] -= n
+            taken.append((r["key"],))
+    fits = kept.join(F.broadcast(spark.createDataFrame(taken, "key long").distinct()), "key", "left_semi")
+    rows = sorted((r["key"], r["y"], r["x"], r["length"]) for r in arrow_map(fits, make, "y int, x binary, length binary, key long").collect())
     scratch.drop("sample")
     good = np.array([r[1] > 0 for r in rows], int)
     if not len(good) or good.min() == good.max():

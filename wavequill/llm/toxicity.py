@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_map, column, documents, strings
 
-#: Labelled rows that a fit uses at most, taken in order of a hash of doc_id.
+#: Labelled rows that a fit uses at most, half of them toxic ones at most, taken in order of a hash of doc_id.
 FIT_ROWS = 20_000
-#: Text features that a model holds at most.
-MAX_FEATURES = 4_096
+#: Text features that a model holds at most, those that speak for toxicity, and those that speak against it.
+MAX_FEATURES, MAX_AGAINST = 4_096, 1_024
 GRADES = 4
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -88,19 +88,27 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, n_features: i
     return theta[:n_features], np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = FIT_ROWS) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = FIT_ROWS, max_features: int = MAX_FEATURES, max_against: int = MAX_AGAINST) -> OrdinalModel:
     """Fit on at most ``max_rows`` labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
-    Features: words and word beginnings that at least 3 toxic rows hold and that occur in toxic
-    rows for the greater part (against their share of rows), at most ``MAX_FEATURES`` by the
-    G2 statistic. ``labels`` marks rows 0 or 1; grades above 1 are made from it: of
-    the toxic rows, those with 2 or 3 selected words are grade 2, those with more grade 3.
-    With labels of one kind only, or none, the model gives 0 (or 1) throughout.
+    Toxic rows are half of the sample at most and others fill it up, so that rare toxicity has its rows; the cuts are then
+    moved to the shares that all usable labels have. Features: words and word beginnings that at least 3 toxic
+    rows hold and that occur in toxic rows for the greater part (against their share of rows), at most ``max_features`` by the
+    G2 statistic, and ``max_against`` of those that other rows hold and toxic rows hardly do, by the same statistic; their weights tell
+    for or against.
+
+    ``labels`` marks rows 0 or 1, so there are no grades above 1 to learn from. They are made: of the toxic rows, those with 2
+    or 3 selected words are grade 2, those with more grade 3. With labels of one kind only, or none, the model gives 0
+    (or 1) throughout.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = chosen.groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
+    known = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    least = min(known.get(1, 0), max_rows // 2)
+    some = lambda y, n: chosen.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = some(1, max(least, max_rows - known.get(0, 0))).unionByName(some(0, max_rows - least))
     # At most max_rows small rows, so that they can be sent to every task; the texts stay where they are.
     # Of rows that share a doc_id one text is used, so that the bound holds; the aggregate spreads the sample over tasks.
     sample = scratch.keep(documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample")
@@ -125,10 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     g2 = lambda x, n: F.when(x > 0, x * F.log(x / n)).otherwise(0.0)
     every = a + b
     strength = 2 * (g2(a, every * pos / (pos + neg)) + g2(b, every * neg / (pos + neg)))
-    best = seen.where("a >= 3").where((a + 0.5) / (pos + 1) > 4 * (b + 0.5) / (neg + 1)).where(a > b).withColumn("g2", strength)
-    best = best.orderBy(F.desc("g2"), "feature").limit(MAX_FEATURES).collect()
-    vocabulary = {r["feature"]: i for i, r in enumerate(best)}
-    whole = {i for f, i in vocabulary.items() if not f.endswith("-")}
+    share = lambda x, n: (x + 0.5) / (n + 1)
+    strong = seen.withColumn("g2", strength).orderBy(F.desc("g2"), "feature")
+    best = strong.where("a >= 3").where(share(a, pos) > 4 * share(b, neg)).where(share(a, 1) > share(b, 1)).limit(max_features).collect()
+    against = strong.where("b >= 3").where(share(b, neg) > 4 * share(a, pos)).limit(max_against).collect()
+    vocabulary = {r["feature"]: i for i, r in enumerate([*best, *against])}
+    whole = {i for f, i in vocabulary.items() if i < len(best) and not f.endswith("-")}
     rows, y = [], []
     matched = arrow_map(sample.select("text", "y"), lambda: _matcher(vocabulary, keep="y"), "found array<int>, y int")
     for r in matched.toLocalIterator():  # at most max_rows rows of selected features
@@ -143,6 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
             grades = np.where(grades > g, grades - 1, grades)
     weights, cuts = fit_cumulative_link(rows, grades, len(vocabulary), int(grades.max()) + 1)
     scratch.drop("sample")
+    # The sample's odds against all usable labels' odds.
+    cuts = cuts + np.log(pos / neg) - np.log(known[1] / known[0])
     return OrdinalModel(vocabulary, weights, np.concatenate([cuts, np.full(GRADES - 1 - len(cuts), 40.0)]))
 
 
