@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .select import in_condition
 from .signals import crop
 
 
@@ -101,10 +102,15 @@ def cross_validate(x: np.ndarray, y: np.ndarray, n_splits: int, seed: int | None
     return float(np.mean(scores)) if scores else 0.5
 
 
-def _labelled(signals: DataFrame, condition_a: Sequence[str], condition_b: Sequence[str], tmin: float | None, tmax: float | None) -> DataFrame:
+def _labelled(signals: DataFrame, condition_a: Sequence[str], condition_b: Sequence[str], tmin: float | None, tmax: float | None, keys: Sequence[str]) -> DataFrame:
+    """Rows of both conditions, label 0 or 1. An element takes part if every condition is one of its own by exact name; rows are
+    then taken by name or by /-separated tags, the first condition's before the second's."""
     c = F.col("condition")
-    label = F.when(c.isin(list(condition_a)), 0).when(c.isin(list(condition_b)), 1)
-    return crop(signals.withColumn("label", label).where("label is not null"), tmin, tmax)
+    wanted = [str(x) for x in (*condition_a, *condition_b)]
+    own = signals.groupBy(*keys).agg(F.collect_set("condition").alias("__have"))
+    fit = own.where(F.size(F.array_except(F.array(*(F.lit(w) for w in wanted)), "__have")) == 0).select(*keys)
+    label = F.when(in_condition(c, list(condition_a)), 0).when(in_condition(c, list(condition_b)), 1)
+    return crop(signals.join(fit, list(keys), "left_semi").withColumn("label", label).where("label is not null"), tmin, tmax)
 
 
 def window_decoding(signals: DataFrame, condition_a: Sequence[str], condition_b: Sequence[str], tmin: float | None = None, tmax: float | None = None, n_splits: int = 10, scoring: str = "roc_auc", seed: int | None = 0, keys: Sequence[str] = ("element",)) -> DataFrame:
@@ -125,7 +131,7 @@ def window_decoding(signals: DataFrame, condition_a: Sequence[str], condition_b:
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "value": value}])
 
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "value double"
-    found = _labelled(signals, condition_a, condition_b, tmin, tmax).groupBy(*keys).applyInPandas(run, schema)
+    found = _labelled(signals, condition_a, condition_b, tmin, tmax, keys).groupBy(*keys).applyInPandas(run, schema)
     return signals.select(*keys).distinct().join(found, list(keys), "left").withColumn("value", F.coalesce("value", F.lit(0.5)))
 
 
@@ -142,7 +148,7 @@ def time_decoding(signals: DataFrame, condition_a: Sequence[str], condition_b: S
         value = cross_validate(wide.to_numpy(), y, n, seed, scoring) if n >= 2 else 0.5
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "t_idx": int(pdf["t_idx"].iloc[0]), "value": value}])
 
-    samples = _labelled(signals, condition_a, condition_b, tmin, tmax).select(*keys, "label", "epoch", "ch_idx", F.posexplode("data").alias("t_idx", "value"))
+    samples = _labelled(signals, condition_a, condition_b, tmin, tmax, keys).select(*keys, "label", "epoch", "ch_idx", F.posexplode("data").alias("t_idx", "value"))
     both = samples.groupBy(*keys).agg(F.countDistinct("label").alias("n")).where("n = 2").select(*keys)
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "t_idx int, value double"
     found = samples.join(both, list(keys), "left_semi").groupBy(*keys, "t_idx").applyInPandas(run, schema)

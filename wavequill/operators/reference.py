@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 _KEYS = ("element", "epoch")
 
 
-def reference(samples: DataFrame, channels: str | Sequence[str] = "average", keys: Sequence[str] = _KEYS, bads: Sequence[str] = ()) -> DataFrame:
-    """Subtract the mean of the reference channels; "average" means all channels that are not bad.
+def reference(samples: DataFrame, channels: str | Sequence[str] = "average", keys: Sequence[str] = _KEYS, bads: Sequence[str] = (), now: bool = True) -> DataFrame:
+    """Subtract the mean of the reference channels; "average" means all channels that are not bad. Names that the data lack are an error
+    at once or, with ``now`` false, when the query runs and an epoch lacks one: then nothing is computed while it is planned.
 
     The mean is an aggregate joined back by sample, so that the first shuffle carries partial sums only.
     """
@@ -20,12 +21,15 @@ def reference(samples: DataFrame, channels: str | Sequence[str] = "average", key
         used = ~c.isin(list(bads)) if bads else F.lit(True)
     else:
         names = [channels] if isinstance(channels, str) else list(channels)
-        have = {r["channel"] for r in samples.select("channel").where(c.isin(names)).distinct().collect()}
+        used = c.isin(names)
+        have = {r["channel"] for r in samples.select("channel").where(used).distinct().collect()} if now else set(names)
         if missing := [n for n in names if n not in have]:
             raise ValueError(f"reference channels {missing} are not in the data")
-        used = c.isin(names)
     at = [*keys, "t_idx"]
-    level = samples.where(used).groupBy(*at).agg(F.avg("value").alias("__ref"))
+    level = samples.groupBy(*at).agg(F.avg(F.when(used, F.col("value"))).alias("__ref"), F.count_distinct(F.when(used, c)).alias("__n")) if channels != "average" else samples.where(used).groupBy(*at).agg(F.avg("value").alias("__ref"))
+    if channels != "average":
+        lacking = F.raise_error(F.lit(f"some of the reference channels {sorted(set(names))} are not in the data")).cast("double")
+        level = level.withColumn("__ref", F.when(F.col("__n") == len(set(names)), F.col("__ref")).otherwise(lacking)).drop("__n")
     return samples.join(level, at).withColumn("value", F.col("value") - F.col("__ref")).select(*samples.columns)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .select import at_least
+from .select import at_least, enough
 from .signals import let, mean
 
 
@@ -74,20 +74,32 @@ def bad_channels_by_high_frequencies(signals: DataFrame, threshold: float = 4.0,
     return outliers(channel_spread(over_epochs(signals, order=4, edges=(25.0,), kind="high", keys=keys), "deviation", keys), "value", threshold, rounds, keys)
 
 
-def drop_channels(signals: DataFrame, bad: DataFrame, keys: Sequence[str] = ("element",)) -> DataFrame:
-    return signals.join(bad, [*keys, "channel"], "left_anti")
+def drop_channels(signals: DataFrame, bad: DataFrame, keys: Sequence[str] = ("element",), min_channels: int | float | None = None) -> DataFrame:
+    """Rows of other channels; an element that keeps fewer than ``min_channels`` (a number, or a share of all) fails the query."""
+    left = signals.join(bad, [*keys, "channel"], "left_anti")
+    if min_channels is None:
+        return left
+    total = signals.select(*keys, "channel").distinct().groupBy(*keys).agg(F.count("*").alias("__all"))
+    gone = bad.select(*keys, "channel").distinct().groupBy(*keys).agg(F.count("*").alias("__gone"))
+    counts = total.join(gone, list(keys), "left").withColumn("__left", F.col("__all") - F.coalesce("__gone", F.lit(0)))
+    # From the counts' side, so that elements of which nothing is left are seen as well.
+    return counts.where(enough(F.col("__left"), F.col("__all"), min_channels, "channels")).select(*keys).join(left, list(keys)).select(*signals.columns)
 
 
 def drop_epochs(signals: DataFrame, bad: DataFrame, keys: Sequence[str] = ("element",)) -> DataFrame:
     return signals.join(bad, [*keys, "epoch"], "left_anti")
 
 
-def reject_epochs(signals: DataFrame, reject: Mapping[str, float], n_channels_bad: float | int = 0.1, min_events: float | int = 0.3, keys: Sequence[str] = ("element",)) -> tuple[DataFrame, DataFrame]:
-    """Epochs that are left, and a report row for each element; too few left in any element is an error."""
+def reject_epochs(signals: DataFrame, reject: Mapping[str, float], n_channels_bad: float | int = 0.1, min_events: float | int = 0.3, keys: Sequence[str] = ("element",), now: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Epochs that are left, and a report row for each element. Too few left in any element is an error, at once or, with ``now`` false,
+    when the query runs: then nothing is computed while it is planned."""
     bad = bad_epochs_by_range(signals, reject, n_channels_bad, keys)
     before = signals.groupBy(*keys).agg(F.countDistinct("epoch").alias("n_epochs_before"))
     gone = bad.groupBy(*keys).agg(F.count("*").alias("n_bad_epochs"), F.array_sort(F.collect_list("epoch")).alias("bad_epochs"))
     report = before.join(gone, list(keys), "left").withColumn("n_bad_epochs", F.coalesce("n_bad_epochs", F.lit(0))).withColumn("n_epochs_after", F.col("n_epochs_before") - F.col("n_bad_epochs"))
-    for r in report.select("n_epochs_before", "n_epochs_after").toLocalIterator():
-        at_least(r["n_epochs_after"], r["n_epochs_before"], min_events, "epochs")
-    return drop_epochs(signals, bad, keys), report
+    if now:
+        for r in report.select("n_epochs_before", "n_epochs_after").toLocalIterator():
+            at_least(r["n_epochs_after"], r["n_epochs_before"], min_events, "epochs")
+        return drop_epochs(signals, bad, keys), report
+    report = report.where(enough(F.col("n_epochs_after"), F.col("n_epochs_before"), min_events, "epochs"))
+    return report.select(*keys).join(drop_epochs(signals, bad, keys), list(keys)).select(*signals.columns), report

@@ -88,3 +88,10 @@ def at_least(count: int, total: int, least: int | float, what: str) -> None:
     need = int(total * least) if isinstance(least, float) else least
     if count < need:
         raise ValueError(f"{count} of {total} {what} are left, {need} are needed")
+
+
+def enough(left: Column, total: Column, least: int | float, what: str) -> Column:
+    """A condition that holds where ``at_least`` would let pass, and that fails the query elsewhere, when it runs."""
+    need = F.floor(total * F.lit(least)) if isinstance(least, float) else F.lit(least)
+    said = F.concat(left.cast("string"), F.lit(" of "), total.cast("string"), F.lit(f" {what} are left, "), need.cast("string"), F.lit(" are needed"))
+    return F.when(left < need, F.raise_error(said).cast("boolean")).otherwise(F.lit(True))

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 SIGNAL_SCHEMA = "subject string, session string, task string, acq string, run string, epoch int, condition string, ch_idx int, channel string, sfreq double, tmin double, data array<double>"
 
 
+#: Names of channels that carry event codes.
+STIMULUS = "(?i)^(sti|stim|status|trigger|event)"
+
+
 def explode_samples(signals: DataFrame) -> DataFrame:
     """Sample rows of signal rows."""
     keep = [c for c in signals.columns if c != "data"]
@@ -111,3 +115,27 @@ def event_epochs(samples: DataFrame, events: DataFrame, before: int, after: int,
     out = met.withColumn("t_idx", (F.col("sample") - F.col("at") + before).cast("int"))
     whole = out.groupBy(key, "channel", "epoch").agg(F.count("*").alias("__n")).where(F.col("__n") == width).drop("__n")
     return out.join(whole, [key, "channel", "epoch"], "left_semi")
+
+
+def stimulus_events(signals: DataFrame, channel: str = STIMULUS, keys: Sequence[str] = ("element",)) -> DataFrame:
+    """Events of continuous rows of stimulus channels (a pattern of names): keys, sample, code. As ``triggers``, within each row's array."""
+    rows = signals.where(F.col("channel").rlike(channel))
+    at = F.transform("data", lambda x, i: F.struct(i.cast("long").alias("sample"), x.cast("int").alias("code"), F.coalesce(F.get("data", i - 1), F.lit(0.0)).cast("int").alias("prev")))
+    return rows.select(*keys, F.explode(F.filter(at, lambda e: (e["code"] != e["prev"]) & (e["code"] != 0))).alias("e")).select(*keys, "e.sample", "e.code")
+
+
+def cut_events(signals: DataFrame, events: DataFrame, tmin: float, tmax: float, keys: Sequence[str] = ("element",)) -> DataFrame:
+    """Epochs of continuous signal rows around events (keys, sample, code, name): the samples within [tmin, tmax] of each event.
+
+    A recording's events are bounded and meet each of its channels as one array, so that signals are joined once and sliced, not
+    joined sample by sample. Epochs are numbered by sample in the recording; those that reach beyond an end are
+    left out, without changing the others' numbers. A recording without events is an error.
+    """
+    listed = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("sample").cast("long").alias("sample"), F.col("code").cast("int").alias("code"), "name"))).alias("__events"))
+    none = F.raise_error(F.concat(F.lit("no matching events for "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))).cast("array<struct<sample:bigint,code:int,name:string>>")
+    met = signals.join(listed, list(keys), "left").withColumn("__events", F.coalesce("__events", none))
+    first, width = F.round(F.lit(float(tmin)) * F.col("sfreq")).cast("int"), (F.round(F.lit(float(tmax)) * F.col("sfreq")) - F.round(F.lit(float(tmin)) * F.col("sfreq"))).cast("int") + 1
+    start = lambda e: e["sample"].cast("int") + first
+    cut = F.transform("__events", lambda e, i: F.struct(i.alias("epoch"), e["name"].alias("condition"), F.when((start(e) >= 0) & (start(e) + width <= F.size("data")), F.slice("data", start(e) + 1, width)).alias("data")))
+    whole = F.filter(cut, lambda e: e["data"].isNotNull())
+    return met.withColumn("__e", F.explode(whole)).select(*(F.col("__e")[c].alias(c) if c in ("epoch", "condition", "data") else F.col(c) for c in signals.columns if c != "tmin"), (first / F.col("sfreq")).alias("tmin"))

@@ -23,13 +23,14 @@ def segment_sizes(n: int, n_per_seg: int | None = None, n_overlap: int | None =
 def psd(signals: DataFrame, fmin: float = 0.0, fmax: float | None = None, n_fft: int | None = 256, n_per_seg: int | None = None, n_overlap: int | None = None, tmin: float | None = None, tmax: float | None = None) -> DataFrame:
     """Welch densities of every signal row: column ``psd`` of structs (freq, power), fmin <= freq <= fmax.
 
-    A narrow map over Arrow batches: rows of equal length go through one FFT, nothing is shuffled.
+    A narrow map over Arrow batches: rows of equal length go through one FFT, nothing is shuffled. Python gives two plain arrays,
+    which Spark zips.
     """
     import pandas as pd
 
     cropped = crop(signals.withColumn("__n", F.size("data")), tmin, tmax)
     keep = [c for c in signals.columns if c != "data"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in signals.schema if f.name != "data") + ", psd array<struct<freq: double, power: double>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in signals.schema if f.name != "data") + ", __freq array<double>, __power array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -38,10 +39,15 @@ def psd(signals: DataFrame, fmin: float = 0.0, fmax: float | None = None, n_fft:
                 fft = max(256 if n_fft is None else n_fft, min(per, int(size)))
                 freqs, power = dsp.welch(np.stack(part["data"].to_numpy()), float(fs), fft, per, overlap)
                 inside = (freqs >= fmin) & (freqs <= (np.inf if fmax is None else fmax))
-                f = freqs[inside]
-                yield part[keep].assign(psd=[[{"freq": a, "power": b} for a, b in zip(f, row, strict=True)] for row in power[:, inside]])
+                yield part[keep].assign(__freq=[freqs[inside]] * len(part), __power=list(power[:, inside]))
 
-    return cropped.mapInPandas(run, schema)
+    made = cropped.mapInPandas(run, schema)
+    return made.select(*keep, F.arrays_zip("__freq", "__power").cast("array<struct<freq:double,power:double>>").alias("psd"))
+
+
+def within(spectra: DataFrame, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:
+    """Spectra cut to fmin <= freq <= fmax."""
+    return spectra.withColumn("psd", F.filter("psd", lambda x: (x["freq"] >= fmin) & (x["freq"] <= (float("inf") if fmax is None else fmax))))
 
 
 def psd_sql(signals: DataFrame, n_per_seg: int, n_overlap: int, n_fft: int, n_samples: int, sfreq: float, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:

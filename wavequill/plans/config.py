@@ -3,24 +3,40 @@
 from __future__ import annotations
 
 import warnings
+from collections import Counter
 from collections.abc import Callable, Mapping
+from functools import partial
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aggregate import aggregate, aggregate_pairs
-from ..functions.names import normalise_subject
+from ..functions.names import normalise_subject, stage_name
 from ..operators import complexity, decoding, filters, interpolate, ordinal, reference, reject, signals, spectral, spindles, timelocked, waves
-from ..operators.select import resolve_rois, select_channels
-from ..sources import recordings, store, tables
+from ..operators.select import eeg_channels, resolve_rois, select_channels
+from ..sources import recordings, shared, store, tables
 
 Step = Callable[[DataFrame, dict[str, Any]], DataFrame]
+
+
+def _pattern(p: Mapping[str, Any]) -> str:
+    patterns = p.get("patterns")
+    return patterns.get("EEG", {}).get("pattern", "{subject}/*.fif") if isinstance(patterns, Mapping) else p.get("pattern", "{subject}/*.fif")
+
+
+def _element(p: Mapping[str, Any]) -> Column:
+    """The placeholders' values, joined: an element is a subject, or one of its sessions, tasks and so on."""
+    known = [c for c in ("subject", "session", "task", "acq", "run") if c in p.get("replacements", ["subject"])]
+    return F.concat_ws("_", *(F.col(c) for c in known))
+
+
 PREPROCESSORS: dict[str, Step] = {}
 MARKERS: dict[str, tuple[str, Step]] = {}
 SOURCES: dict[str, Callable[[SparkSession, dict[str, Any]], DataFrame]] = {
-    "EEGDataGrabber": lambda s, p: recordings.grab(s, p["datadir"], p.get("patterns", {}).get("EEG", {}).get("pattern", "{subject}/*.edf") if isinstance(p.get("patterns"), Mapping) else p.get("pattern", "{subject}/*.edf"), p.get("replacements", ["subject"])).withColumn("element", F.col("subject")),
+    "EEGDataGrabber": lambda s, p: recordings.grab(s, p["datadir"], _pattern(p), p.get("replacements", ["subject"])).withColumn("element", _element(p)),
     "EventTable": lambda s, p: tables.event_epochs(s, p["datadir"]),
+    "EventRecording": lambda s, p: tables.event_recording(s, p["datadir"]),
     "VectorTable": lambda s, p: tables.vector_epochs(s, p["datadir"]),
 }
 #: Former parameter names.
@@ -56,42 +72,69 @@ def _filter(df: DataFrame, p: dict[str, Any]) -> DataFrame:
 
 @preprocessor("EEGEpoching")
 def _epoching(df: DataFrame, p: dict[str, Any]) -> DataFrame:
-    """Fixed-length epochs of continuous signal rows."""
-    if "duration" not in p:
-        raise ValueError("epoching by events needs an events table: see signals.event_epochs")
-    keep = df.where(~F.col("channel").isin(list(p.get("exclude_channels", []))))
-    n, step = F.round(F.lit(float(p["duration"])) * F.col("sfreq")).cast("int"), F.round(F.lit(float(p["duration"]) - float(p.get("overlap", 0.0))) * F.col("sfreq")).cast("int")
-    starts = F.when(F.size("data") >= n, F.sequence(F.lit(0), F.size("data") - n, step)).otherwise(F.array().cast("array<int>"))
-    cut = keep.withColumn("__n", n).select("*", F.posexplode(starts).alias("__epoch", "__start"))
-    cut = cut.withColumn("data", F.slice("data", F.col("__start") + 1, F.col("__n"))).withColumn("epoch", F.col("__epoch")).drop("__n", "__epoch", "__start")
-    return signals.baseline(cut, *p["baseline"]) if p.get("baseline") else cut
+    """Fixed-length epochs of continuous signal rows, or epochs around events; then the EEG channels and the baseline.
+
+    Events come from ``events`` (a table or CSV path of element, sample, code, name), else from stimulus channels, else, for
+    elements without one, from the recordings' annotations.
+    """
+    plain = df.where(~F.col("channel").rlike(signals.STIMULUS) & ~F.col("channel").isin(list(p.get("exclude_channels") or [])))
+    if p.get("duration") is None:
+        plain = signals.cut_events(plain, _events(df, p), p.get("tmin", -0.2), p.get("tmax", 1.0))
+    else:
+        n, step = F.round(F.lit(float(p["duration"])) * F.col("sfreq")).cast("int"), F.round(F.lit(float(p["duration"]) - float(p.get("overlap", 0.0))) * F.col("sfreq")).cast("int")
+        starts = F.when(F.size("data") >= n, F.sequence(F.lit(0), F.size("data") - n, step)).otherwise(F.array().cast("array<int>"))
+        cut = plain.withColumn("__n", n).select("*", F.posexplode(starts).alias("__epoch", "__start"))
+        plain = cut.withColumn("data", F.slice("data", F.col("__start") + 1, F.col("__n"))).withColumn("epoch", F.col("__epoch")).drop("__n", "__epoch", "__start")
+    base = p.get("baseline", (None, 0.0))
+    return signals.baseline(eeg_channels(plain), *base) if base else eeg_channels(plain)
+
+
+def _events(df: DataFrame, p: dict[str, Any]) -> DataFrame:
+    wanted = p.get("event_id")
+    given = p.get("events")
+    if given is not None:
+        rows = given if isinstance(given, DataFrame) else df.sparkSession.read.csv(given, header=True, inferSchema=True)
+        rows = rows.select(F.col("element").cast(df.schema["element"].dataType).alias("element"), F.col("sample").cast("long").alias("sample"), F.col("code").cast("int").alias("code"), (F.col("name") if "name" in rows.columns else F.lit(None)).cast("string").alias("name"))
+    else:
+        rows = signals.stimulus_events(df, p.get("stim_channel", signals.STIMULUS)).withColumn("name", F.lit(None).cast("string"))
+        if p.get("__annotations") is not None:
+            with_stim = df.where(F.col("channel").rlike(signals.STIMULUS)).select("element").distinct()
+            rows = rows.unionByName(p["__annotations"].join(with_stim, "element", "left_anti").select("element", "sample", "code", "name"))
+    if wanted is None:
+        return rows.withColumn("name", F.coalesce("name", F.col("code").cast("string")))
+    # By code where an event has no name of its own, else by name.
+    by_code = F.lit(None).cast("string")
+    for name, code in wanted.items():
+        by_code = F.coalesce(by_code, F.when(F.col("code") == int(code), F.lit(name)))
+    named = F.when(F.col("name").isNull(), by_code).when(F.col("name").isin(list(wanted)), F.col("name"))
+    return rows.withColumn("name", named).where("name is not null")
 
 
 @preprocessor("EEGReference")
 def _reference(df: DataFrame, p: dict[str, Any]) -> DataFrame:
     at = ["element", "epoch", "condition", "ch_idx", "channel", "sfreq", "tmin"]
-    s = reference.reference(signals.explode_samples(df.select(*at, "data")), p.get("ref_channels", "average"))
+    s = reference.reference(signals.explode_samples(df.select(*at, "data")), p.get("ref_channels", "average"), now=False)
     return signals.collect_signals(s, at)
 
 
 @preprocessor("BadChannelsThreshold")
 def _bad_threshold(df: DataFrame, p: dict[str, Any]) -> DataFrame:
-    return reject.drop_channels(df, reject.bad_channels_by_range(df, p.get("reject", {"eeg": 100e-6}), p.get("n_epochs_bad_ch", 0.5)))
+    return reject.drop_channels(df, reject.bad_channels_by_range(df, p.get("reject", {"eeg": 100e-6}), p.get("n_epochs_bad_ch", 0.5)), min_channels=p.get("min_channels", 0.7))
 
 
 @preprocessor("BadChannelsVariance")
 def _bad_variance(df: DataFrame, p: dict[str, Any]) -> DataFrame:
-    return reject.drop_channels(df, reject.bad_channels_by_variance(df, p.get("zscore_thresh", 4), p.get("max_iter", 2)).where("is_bad"))
+    return reject.drop_channels(df, reject.bad_channels_by_variance(df, p.get("zscore_thresh", 4), p.get("max_iter", 2)).where("is_bad"), min_channels=p.get("min_channels", 0.7))
 
 
 @preprocessor("BadChannelsHighFrequency")
 def _bad_high(df: DataFrame, p: dict[str, Any]) -> DataFrame:
-    return reject.drop_channels(df, reject.bad_channels_by_high_frequencies(df, p.get("zscore_thresh", 4), p.get("max_iter", 2)).where("is_bad"))
+    return reject.drop_channels(df, reject.bad_channels_by_high_frequencies(df, p.get("zscore_thresh", 4), p.get("max_iter", 2)).where("is_bad"), min_channels=p.get("min_channels", 0.7))
 
 
 @preprocessor("BadEpochsThreshold")
 def _bad_epochs(df: DataFrame, p: dict[str, Any]) -> DataFrame:
-    return reject.reject_epochs(df, p.get("reject", {"eeg": 100e-6}), p.get("n_channels_bad_epoch", 0.1), p.get("min_events", 0.3))[0]
+    return reject.reject_epochs(df, p.get("reject", {"eeg": 100e-6}), p.get("n_channels_bad_epoch", 0.1), p.get("min_events", 0.3), now=False)[0]
 
 
 @preprocessor("EEGInterpolation")
@@ -101,8 +144,25 @@ def _interpolate(df: DataFrame, p: dict[str, Any]) -> DataFrame:
     return signals.collect_signals(s, at)
 
 
+def _spectral_key(p: Mapping[str, Any]) -> tuple:
+    return ("psd", str(p.get("rois")), p.get("equipment"), *(p.get(k) for k in ("n_fft", "n_per_seg", "n_overlap", "tmin", "tmax")))
+
+
 def _spectra(df: DataFrame, p: dict[str, Any], fmin: float, fmax: float | None) -> DataFrame:
-    return spectral.psd(df, fmin, fmax, p.get("n_fft"), p.get("n_per_seg"), p.get("n_overlap"), p.get("tmin"), p.get("tmax"))
+    """Spectra between two frequencies; markers with equal settings share one table of whole spectra."""
+    make = partial(spectral.psd, df, n_fft=p.get("n_fft"), n_per_seg=p.get("n_per_seg"), n_overlap=p.get("n_overlap"), tmin=p.get("tmin"), tmax=p.get("tmax"))
+    if "__shared" not in p:
+        return make(fmin=fmin, fmax=fmax)
+    return spectral.within(p["__shared"](_spectral_key(p), make), fmin, fmax)
+
+
+def _low_passed(df: DataFrame, p: dict[str, Any], tau: int, csd: bool = False) -> DataFrame:
+    make = partial(filters.ordinal_low_pass, df, p.get("kernel", 3), tau)
+    return p["__shared"](_ordinal_key(p, tau, csd), make) if "__shared" in p else make()
+
+
+def _ordinal_key(p: Mapping[str, Any], tau: int, csd: bool) -> tuple:
+    return ("low", str(p.get("rois")), p.get("equipment"), p.get("kernel", 3), tau, csd)
 
 
 def _rate(df: DataFrame) -> float:
@@ -133,7 +193,7 @@ def _estimate(df: DataFrame, p: dict[str, Any]) -> DataFrame:
 
 @marker("PermutationEntropy", "permutationentropy")
 def _entropy(df: DataFrame, p: dict[str, Any]) -> DataFrame:
-    parts = [ordinal.permutation_entropy(filters.ordinal_low_pass(df, p.get("kernel", 3), t), [t], p.get("kernel", 3), **_times(p)) for t in _taus(p)]
+    parts = [ordinal.permutation_entropy(_low_passed(df, p, t), [t], p.get("kernel", 3), **_times(p)) for t in _taus(p)]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -144,13 +204,14 @@ def _smi(df: DataFrame, p: dict[str, Any]) -> DataFrame:
     """CSD is on by default. Asked for without positions it is an error; not mentioned at all, it is left out with a warning."""
     if p.get("csd") and "positions" not in p:
         raise ValueError(f"{p['kind']}: csd needs positions")
+    csd = bool("positions" in p and p.get("csd", True))
     if "csd" not in p and "positions" not in p:
         warnings.warn(f"{p['kind']}: no CSD without positions; csd: false says so", stacklevel=2)
-    elif p.get("csd", True):
+    elif csd:
         import numpy as np
 
         df = interpolate.mix_channels(df, interpolate.csd_matrix(np.array(list(p["positions"].values()))))
-    parts = [ordinal.mutual_information(filters.ordinal_low_pass(df, p.get("kernel", 3), t), [t], p.get("kernel", 3), p.get("weighted", True), **_times(p)) for t in _taus(p)]
+    parts = [ordinal.mutual_information(_low_passed(df, p, t, csd), [t], p.get("kernel", 3), p.get("weighted", True), **_times(p)) for t in _taus(p)]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -239,12 +300,17 @@ def _time(df: DataFrame, p: dict[str, Any]) -> DataFrame:
     return decoding.time_decoding(df, *_conditions(p), p.get("tmin"), p.get("tmax"), p.get("n_splits", 5), p.get("scoring", "roc_auc"), p.get("random_state", 42))
 
 
-def run_marker(epochs: DataFrame, spec: Mapping[str, Any], channels: list[str] | None = None) -> DataFrame:
-    """One marker's feature rows: regions, kernel, then the aggregations that its parameters ask for."""
-    p = {RENAMED.get(k, k): v for k, v in spec.items()}
+def run_marker(epochs: DataFrame, spec: Mapping[str, Any], channels: list[str] | None = None, share: Callable | None = None) -> DataFrame:
+    """One marker's feature rows: regions, kernel, then the aggregations that its parameters ask for.
+
+    share: where given, called with a key and a function, gives the table that markers of this key have in common.
+    """
+    p = _renamed(spec)
     if p["kind"] not in MARKERS:
         raise ValueError(f"unknown marker {p['kind']!r}; known are {', '.join(sorted(MARKERS))}")
     feature, kernel = MARKERS[p["kind"]]
+    if share is not None:
+        p["__shared"] = share
     df = epochs
     if p.get("rois"):
         names = channels or [r["channel"] for r in epochs.select("ch_idx", "channel").distinct().orderBy("ch_idx").collect()]
@@ -259,21 +325,91 @@ def run_marker(epochs: DataFrame, spec: Mapping[str, Any], channels: list[str] |
     return store.as_features(out, p.get("feature_name", feature), p["kind"], p.get("name"))
 
 
+def _renamed(spec: Mapping[str, Any]) -> dict[str, Any]:
+    return {RENAMED.get(k, k): v for k, v in spec.items()}
+
+
+def _keys(p: Mapping[str, Any]) -> list[tuple]:
+    """What a marker could share with others."""
+    if p["kind"] in ("SpectralPowerBands", "PowerSpectralDensitySummary", "PowerSpectralDensityEstimator"):
+        return [_spectral_key(p)]
+    if p["kind"] == "PermutationEntropy":
+        return [_ordinal_key(p, t, False) for t in _taus(p)]
+    if p["kind"].startswith("SymbolicMutualInformation"):
+        return [_ordinal_key(p, t, bool("positions" in p and p.get("csd", True))) for t in _taus(p)]
+    return []
+
+
 def compile_pipeline(spark: SparkSession, config: Mapping[str, Any] | str) -> DataFrame:
-    """The union of all markers' feature rows. Steps before the markers are one plan, which they share."""
+    """The union of all markers' feature rows.
+
+    What several markers need is written once to the shared folder: the preprocessed signals, and the spectra and low-passed
+    signals that markers with equal settings have in common. A preprocessing step with ``dump_path`` also
+    writes its result there, under its stage's name.
+    """
     if isinstance(config, str):
         import yaml
 
         config = yaml.safe_load(config)
     grabber = dict(config["datagrabber"])
-    df = SOURCES[grabber.pop("kind")](spark, grabber)
-    for step in config.get("preprocess") or []:
-        step = dict(step)
+    kind = grabber.pop("kind")
+    df = SOURCES[kind](spark, grabber)
+    steps, specs = [dict(x) for x in config.get("preprocess") or []], [_renamed(x) for x in config["markers"]]
+    if unknown := [x["kind"] for x in steps if x["kind"] not in PREPROCESSORS]:
+        raise ValueError(f"unknown preprocessing steps {unknown}")
+    for step in steps:
+        if step["kind"] == "EEGEpoching" and kind == "EEGDataGrabber":
+            step["__annotations"] = recordings.annotations(spark, grabber["datadir"], _pattern(grabber), grabber.get("replacements", ["subject"])).withColumn("element", _element(grabber))
         df = PREPROCESSORS[step.pop("kind")](df, step)
+        if step.get("dump_path"):
+            df = store.dump(df, step["dump_path"])
+    if len(specs) > 1:
+        df = shared.keep(df, "signals")
+    counts = Counter(k for p in specs for k in set(_keys(p)))
+    made: dict[tuple, DataFrame] = {}
+
+    def share(key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if counts[key] < 2:
+            return make()
+        if key not in made:
+            made[key] = shared.keep(make(), key[0])
+        return made[key]
+
     out = None
-    for spec in config["markers"]:
-        rows = run_marker(df, spec)
+    for p in specs:
+        rows = run_marker(df, p, share=share)
         out = rows if out is None else out.unionByName(rows)
     if uri := (config.get("storage") or {}).get("uri"):
         store.write(out, uri)
     return out
+
+
+def main(args: list[str] | None = None) -> int:
+    """``python -m wavequill.plans.config run pipeline.yaml``: run a pipeline file and write its features to its storage."""
+    import argparse
+
+    import yaml
+
+    parser = argparse.ArgumentParser(prog="wavequill", description=main.__doc__)
+    parser.add_argument("command", choices=["run", "list"])
+    parser.add_argument("file", nargs="?")
+    parser.add_argument("--uri", help="where features go, in place of the file's storage uri")
+    given = parser.parse_args(args)
+    if given.command == "list":
+        print("\n".join(["grabbers: " + ", ".join(sorted(SOURCES)), "preprocessors: " + ", ".join(sorted(PREPROCESSORS)), "markers: " + ", ".join(sorted(MARKERS))]))
+        return 0
+    if not given.file:
+        parser.error("run needs a file")
+    with open(given.file) as f:
+        config = yaml.safe_load(f)
+    uri = given.uri or (config.get("storage") or {}).get("uri")
+    if not uri:
+        parser.error("no storage uri")
+    spark = SparkSession.builder.appName("wavequill").getOrCreate()
+    store.write(compile_pipeline(spark, {**config, "storage": None}), uri)
+    print(f"{len(store.list_features(spark, uri))} features in {uri}")
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -1,9 +1,9 @@
-"""Recordings from files: patterns with placeholders, formats by extension, EDF/BDF and BrainVision decoders."""
+"""Recordings from files: patterns with placeholders, formats by extension, signals and annotations."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import ENTITIES
 from ..operators.signals import SIGNAL_SCHEMA
+from . import formats
 
 #: Format of each extension. Formats without a decoder are known, and refused when read.
 EXTENSIONS = {
@@ -40,105 +41,99 @@ def pattern_regex(pattern: str) -> str:
     return out + "$"
 
 
-def decode_edf(data: bytes) -> tuple[list[str], list[float], list[np.ndarray]]:
-    """Labels, rates and physical samples of an EDF or BDF file; annotation channels are left out."""
-    wide = data[0] == 0xFF
-    text = lambda a, b: data[a:b].decode("latin-1").strip()
-    header, records, seconds, n = int(text(184, 192)), int(text(236, 244)), float(text(244, 252)), int(text(252, 256))
-    at = 256
-    fields = []
-    for width in (16, 80, 8, 8, 8, 8, 8, 80, 8, 32):
-        fields.append([text(at + k * width, at + (k + 1) * width) for k in range(n)])
-        at += n * width
-    labels, counts = fields[0], [int(x) for x in fields[8]]
-    low, high, dlow, dhigh = ([float(x) for x in fields[i]] for i in (3, 4, 5, 6))
-    size = 3 if wide else 2
-    body = np.frombuffer(data, np.uint8, offset=header)
-    per = sum(counts)
-    if records < 0:
-        records = len(body) // (per * size)
-    body = body[: records * per * size].reshape(records, per * size)
-    out, start = [], 0
-    for k in range(n):
-        raw = body[:, start : start + counts[k] * size].reshape(-1, size)
-        start += counts[k] * size
-        if wide:
-            v = raw[:, 0].astype(np.int32) | raw[:, 1].astype(np.int32) << 8 | raw[:, 2].astype(np.int8).astype(np.int32) << 16
-        else:
-            v = np.ascontiguousarray(raw).view("<i2").ravel().astype(np.int32)
-        gain = (high[k] - low[k]) / (dhigh[k] - dlow[k])
-        out.append((v - dlow[k]) * gain + low[k])
-    keep = [k for k in range(n) if "annotation" not in labels[k].lower()]
-    scale = [1e-6 if fields[2][k].lower() in ("uv", "µv") else 1e-3 if fields[2][k].lower() == "mv" else 1.0 for k in range(n)]
-    return [labels[k] for k in keep], [counts[k] / seconds for k in keep], [out[k] * scale[k] for k in keep]
-
-
-def decode_brainvision(header: str, data: bytes) -> tuple[list[str], list[float], list[np.ndarray]]:
-    """Channels of a BrainVision header text and its binary data."""
-    values: dict[str, str] = {}
-    channels: list[tuple[str, float]] = []
-    section = ""
-    for line in header.splitlines():
-        line = line.strip()
-        if line.startswith("["):
-            section = line
-        elif "=" in line and not line.startswith(";"):
-            key, value = line.split("=", 1)
-            if section == "[Channel Infos]":
-                name, _, resolution, *unit = [*value.split(","), "", ""]
-                scale = {"mV": 1e-3, "V": 1.0, "nV": 1e-9}.get(unit[0].strip() if unit else "", 1e-6)
-                channels.append((name.replace("\\1", ","), float(resolution or 1) * scale))
-            else:
-                values[key] = value
-    kind = {"INT_16": "<i2", "INT_32": "<i4", "IEEE_FLOAT_32": "<f4"}[values.get("BinaryFormat", "INT_16")]
-    n = len(channels)
-    flat = np.frombuffer(data, kind)[: len(data) // np.dtype(kind).itemsize // n * n].astype(float)
-    table = flat.reshape(-1, n).T if values.get("DataOrientation", "MULTIPLEXED") == "MULTIPLEXED" else flat.reshape(n, -1)
-    rate = 1e6 / float(values["SamplingInterval"])
-    return [c for c, _ in channels], [rate] * n, [row * scale for row, (_, scale) in zip(table, channels, strict=True)]
-
-
-def grab(spark: SparkSession, folder: str, pattern: str = "{subject}/*.edf", replacements: Sequence[str] = ("subject",), decoders: dict[str, Callable] | None = None) -> DataFrame:
-    """Continuous signal rows of all files below ``folder`` that a pattern matches, read by Spark's own file source.
-
-    Placeholders become key columns, values given without their BIDS prefix. A file is the unit of
-    distribution; BrainVision data files are joined to their headers by path.
+def decode(kind: str, files: Mapping[str, bytes], decoders: Mapping[str, Callable] | None = None) -> formats.Recording:
+    """A recording from the bytes of its files, by ending (or by name within a folder). Own decoders get the main file and may give labels, rates and arrays."""
+    if decoders and kind in decoders:
+        main = next(iter(files.values()))
+        got = decoders[kind](main)
+        return got if isinstance(got, formats.Recording) else formats.Recording(*got)
+    if kind not in formats.DECODERS:
+        raise ValueError(f"no decoder for {kind} files")
+    return formats.DECODERS[kind][0](files)
+
+
+def _files(spark: SparkSession, folder: str, pattern: str, replacements: Sequence[str], own: Mapping[str, Callable]) -> tuple[DataFrame, str, str]:
+    """path and files (name, content) of every recording, the format, and the pattern's expression.
+
+    Only formats of several files are grouped, by stem or folder; others are read where they lie.
     """
     missing = [r for r in replacements if "{" + r + "}" not in pattern]
     if missing:
         raise ValueError(f"the pattern has no placeholders {missing}")
-    regex = pattern_regex(pattern)
-    own = decoders or {}
-    glob = re.sub(r"\{\w+\}", "*", pattern)
-    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{glob}").select("path", "content")
-    if format_of(pattern) == "BrainVision":
-        stem = lambda c: F.regexp_replace(c, r"\.\w+$", "")
-        raw = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{re.sub(r'vhdr$', 'eeg', glob)}").select(stem(F.col("path")).alias("stem"), F.col("content").alias("binary"))
-        files = files.withColumn("stem", stem(F.col("path"))).join(raw, "stem").select("path", "content", "binary")
+    kind = format_of(pattern)
+    beside = () if kind in own else formats.DECODERS.get(kind, (None, ()))[1]
+    glob = f"{folder.rstrip('/')}/{re.sub(r'\{\w+\}', '*', pattern)}"
+    load = lambda g: spark.read.format("binaryFile").load(g).select("path", "content")
+    if not beside:
+        return load(glob).select("path", F.array(F.struct(F.lit("").alias("name"), "content")).alias("files")), kind, pattern_regex(pattern)
+    if beside == ("/",):
+        # Large files of a folder that a decoder doesn't know stay unread.
+        every = load(f"{glob}/*").where(F.regexp_extract("path", r"([^/]+)$", 1).rlike(r"^(signal1\.bin|.*\.xml)$"))
+        rows = every.select(F.regexp_replace("path", r"/[^/]+$", "").alias("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
     else:
-        files = files.withColumn("binary", F.lit(None).cast("binary"))
+        main = beside[0]
+        stem = glob[: -len(re.search(r"\.\w+$", glob)[0])]
+        every = load(f"{stem}.*").where(F.lower(F.regexp_extract("path", r"(\.\w+)$", 1)).isin(list(beside)))
+        rows = every.select(F.concat(F.regexp_replace("path", r"\.\w+$", ""), F.lit(main)).alias("path"), F.lower(F.regexp_extract("path", r"(\.\w+)$", 1)).alias("name"), "content")
+    files = rows.groupBy("path").agg(F.collect_list(F.struct("name", "content")).alias("files"))
+    if beside != ("/",):
+        files = files.where(F.exists("files", lambda x: x["name"] == beside[0]))
+    return files, kind, pattern_regex(pattern)
+
+
+def _keys(path: str, regex: str) -> dict[str, str | None]:
+    found = re.search(regex, path, re.I)
+    keys = found.groupdict() if found else {}
+    return {f: re.sub(rf"^{e}-", "", keys[f]) if f in keys else None for e, f in zip(ENTITIES, ("subject", "session", "task", "acq", "run"), strict=True)}
+
+
+def grab(spark: SparkSession, folder: str, pattern: str = "{subject}/*.edf", replacements: Sequence[str] = ("subject",), decoders: Mapping[str, Callable] | None = None) -> DataFrame:
+    """Signal rows of all recordings below ``folder`` that a pattern matches, read by Spark's own file source.
+
+    Placeholders become key columns, values given without their BIDS prefix. A recording is the unit of
+    distribution. Continuous ones have a row a channel with null epoch; files of epochs have a row an epoch and channel, with
+    the epoch's condition.
+    """
+    own = decoders or {}
+    files, kind, regex = _files(spark, folder, pattern, replacements, own)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
-            for path, content, binary in zip(pdf["path"], pdf["content"], pdf["binary"], strict=True):
-                kind = format_of(path)
-                keys = re.search(regex, path).groupdict()
-                if kind in own:
-                    labels, rates, data = own[kind](content)
-                elif kind in ("EDF", "BDF"):
-                    labels, rates, data = decode_edf(content)
-                elif kind == "BrainVision":
-                    labels, rates, data = decode_brainvision(content.decode("utf-8", "replace"), binary)
+            for path, held in zip(pdf["path"], pdf["files"], strict=True):
+                r = decode(kind, {f["name"]: f["content"] for f in held}, own)
+                keys = _keys(path, regex)
+                if r.is_epochs:
+                    conditions = r.conditions or [None] * len(r.data)
+                    for k, (epoch, condition) in enumerate(zip(r.data, conditions, strict=True)):
+                        yield pd.DataFrame([{**keys, "epoch": k, "condition": condition, "ch_idx": i, "channel": c, "sfreq": fs, "tmin": r.tmin, "data": x.tolist()} for i, (c, fs, x) in enumerate(zip(r.labels, r.rates, epoch, strict=True))])
                 else:
-                    raise ValueError(f"no decoder for {kind} files such as {path}")
-                clean = {f: re.sub(rf"^{e}-", "", keys[f]) if f in keys else None for e, f in zip(ENTITIES, ("subject", "session", "task", "acq", "run"), strict=True)}
-                yield pd.DataFrame([{**clean, "epoch": None, "condition": None, "ch_idx": i, "channel": c, "sfreq": r, "tmin": 0.0, "data": d.tolist()} for i, (c, r, d) in enumerate(zip(labels, rates, data, strict=True))])
+                    yield pd.DataFrame([{**keys, "epoch": None, "condition": None, "ch_idx": i, "channel": c, "sfreq": fs, "tmin": 0.0, "data": np.asarray(x).tolist()} for i, (c, fs, x) in enumerate(zip(r.labels, r.rates, r.data, strict=True))])
 
     return files.mapInPandas(run, SIGNAL_SCHEMA)
 
 
+def annotations(spark: SparkSession, folder: str, pattern: str, replacements: Sequence[str] = ("subject",), decoders: Mapping[str, Callable] | None = None) -> DataFrame:
+    """Events that the recordings' files tell: keys, sample, code, name. Names without a code are numbered in each recording, in order of names."""
+    own = decoders or {}
+    files, kind, regex = _files(spark, folder, pattern, replacements, own)
+    schema = "subject string, session string, task string, acq string, run string, sample long, code int, name string"
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            for path, held in zip(pdf["path"], pdf["files"], strict=True):
+                r = decode(kind, {f["name"]: f["content"] for f in held}, own)
+                number = {n: i + 1 for i, n in enumerate(sorted({n for _, c, n in r.events if c is None and n is not None}))}
+                rows = [{**_keys(path, regex), "sample": round(t * r.rates[0]), "code": number.get(n, 0) if c is None else c, "name": n} for t, c, n in r.events]
+                if rows:
+                    yield pd.DataFrame(rows)
+
+    return files.mapInPandas(run, schema)
+
+
 def encode_edf(labels: Sequence[str], rate: int, data: np.ndarray, seconds: int = 1) -> bytes:
     """A minimal EDF file of microvolt samples, for tests and exports."""
     n = len(labels)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import bids_path, stage_name
+
 #: Axes of each marker class's output, outermost first; an axis that was aggregated is null in the table.
 DIMENSIONS = {
     "SpectralPowerBands": ("band", "epoch", "channel_i"), "PermutationEntropy": ("tau", "epoch", "channel_i"), "KolmogorovComplexity": ("epoch", "channel_i"),
@@ -45,14 +49,81 @@ def write(features: DataFrame, uri: str, mode: str = "update", force_float32: bo
     if mode not in ("update", "overwrite", "error"):
         raise ValueError(f"unknown mode {mode!r}")
     out = features.withColumn("value", F.col("value").cast("float")) if force_float32 else features
-    out = out.withColumn("subject", F.coalesce("subject", F.lit("none")))
-    writer = out.repartition("feature", "subject").write.partitionBy("feature", "subject").option("compression", "gzip")
+    # Rebalanced, so that a feature with very many rows goes to several tasks and files, and small ones share a task.
+    out = out.withColumn("subject", F.coalesce("subject", F.lit("none"))).hint("rebalance", "feature", "subject")
+    writer = out.write.partitionBy("feature", "subject").option("compression", "gzip")
     if mode == "update":
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(uri)
     else:
         writer.mode("overwrite" if mode == "overwrite" else "error").option("partitionOverwriteMode", "static").parquet(uri)
 
 
+def element_uri(uri: str, suffix: str | None = "markers") -> Column:
+    """The file of an element below ``uri``, by BIDS; the description is the uri's stem if the uri names a file, else "markers"."""
+    base, stem, extension = uri.rstrip("/"), "markers", "parquet"
+    if m := re.search(r"(?:^|/)([^/]+)\.(\w+)$", base):
+        base, stem, extension = base[: -len(m[0])] or ".", m[1], "parquet"
+        suffix = None if suffix == "markers" else suffix
+    else:
+        suffix = None if suffix == stem else suffix
+    none = F.raise_error(F.lit("a row has no subject: its file can't be told")).cast("string")
+    return F.concat(F.lit(base + "/"), bids_path(F.coalesce("subject", none), *(F.col(k) for k in KEYS[1:]), stem, suffix, extension))
+
+
+def write_elements(features: DataFrame, uri: str, suffix: str | None = "markers", force_float32: bool = True, pickles: bool = False) -> DataFrame:
+    """One file for each element, at its BIDS path; returns path, rows and features of each. Rows without a subject fail the query.
+
+    An element's features are a bounded group and are written by one task: to a name of its attempt first, which is then renamed, so that a
+    repeated task leaves one whole file. ``pickles`` puts a pickle of every feature's array beside it.
+    """
+    where = features.withColumn("__path", element_uri(uri, suffix))
+    if force_float32:
+        where = where.withColumn("value", F.col("value").cast("float"))
+
+    def run(pdf):
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        path = pdf["__path"].iloc[0]
+        system, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
+        system.create_dir(at.rpartition("/")[0], recursive=True)
+
+        def put(name: str, data: bytes) -> None:
+            own = f"{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(own, compression=None) as stream:
+                stream.write(data)
+            system.move(own, name)
+
+        rows = pdf.drop(columns="__path")
+        sink = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_pandas(rows, preserve_index=False), sink, compression="gzip", compression_level=7)
+        put(at, sink.getvalue().to_pybytes())
+        if pickles:
+            import pickle
+
+            arrays = {str(n): dict(zip(("data", "dim_names"), tensor(g), strict=True)) for n, g in rows.groupby("marker")}
+            put(re.sub(r"\.\w+$", ".pkl", at), pickle.dumps(arrays))
+        return pd.DataFrame([{"path": path, "rows": len(rows), "features": rows["feature"].nunique()}])
+
+    return where.groupBy("__path").applyInPandas(run, "path string, rows long, features long")
+
+
+def dump(df: DataFrame, path: str) -> DataFrame:
+    """Write a stage's signals below ``path`` under the stage's name, by element where the path has ``{element}``, and go on from the files."""
+    stage = stage_name(path)
+    at = f"{path.split('{element}')[0].rstrip('/')}/{stage}" if "{element}" in path else path
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy("element") if "{element}" in path else writer).parquet(at)
+    return load(df.sparkSession, at, df.schema)
+
+
+def load(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Signals that ``dump`` wrote."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+
+
 def read(spark: SparkSession, uri: str, feature: str | None = None) -> DataFrame:
     """A store's rows; a feature's partition alone is read where it is named."""
     df = spark.read.parquet(uri)
@@ -65,7 +136,10 @@ def list_features(spark: SparkSession, uri: str) -> list[str]:
 
 def to_tensor(rows: DataFrame, marker_class: str | None = None) -> tuple[np.ndarray, tuple[str, ...]]:
     """A marker's rows as an array in the order of its class's axes, aggregated axes of size 1; for results of one element."""
-    pdf = rows.toPandas()
+    return tensor(rows.toPandas(), marker_class)
+
+
+def tensor(pdf, marker_class: str | None = None) -> tuple[np.ndarray, tuple[str, ...]]:
     name = marker_class or (pdf["marker_class"].iloc[0] if len(pdf) else "")
     axes = DIMENSIONS.get(name, tuple(a for a in _AXES if a in pdf and pdf[a].notna().any()))
     codes, shape = [], []

@@ -14,13 +14,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as continuous sample rows: element is user_id mod 4, channel the type, sample the place in time."""
-    order = Window.partitionBy("element", "channel").orderBy("ts", "event_id")
+    """events as continuous sample rows: element is user_id mod 4, channel the type, sample the place in time.
+
+    Places are counted within hours, after the sums of the hours before, so that no task sorts a whole channel.
+    """
     rows = read(spark, sf_dir, "events").select(
-        (F.col("user_id") % 4).cast("int").alias("element"), F.col("event_type").alias("channel"), "ts", "event_id",
+        (F.col("user_id") % 4).cast("int").alias("element"), F.col("event_type").alias("channel"), "ts", "event_id", F.date_trunc("hour", "ts").alias("hour"),
         F.col("value").cast("double").alias("value"), (F.get_json_object("props", "$.k").cast("int") % 2).alias("parity"),
     )
-    return rows.withColumn("sample", (F.row_number().over(order) - 1).cast("long")).drop("ts")
+    keys = ["element", "channel", "hour"]
+    before = Window.partitionBy("element", "channel").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id")) - 1)
+    return placed.join(counts, keys).withColumn("sample", (F.col("before") + F.col("place")).cast("long")).select("element", "channel", "event_id", "value", "parity", "sample")
+
+
+def event_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole channels of events as a continuous recording, with a stimulus channel that is 1 where a view's value is over 80, else 0."""
+    series = event_series(spark, sf_dir)
+    views = event_samples(spark, sf_dir).where("channel = 'view'").select("element", F.col("sample").cast("int").alias("t_idx"), F.when(F.col("value") > 80, 1.0).otherwise(0.0).alias("value"))
+    stim = collect_signals(views, ["element"]).select("element", F.lit("STI").alias("channel"), "data", F.lit(0).alias("epoch"), F.lit(99).alias("ch_idx"), F.lit(10.0).alias("sfreq"), F.lit(0.0).alias("tmin"), F.lit("all").alias("condition"))
+    return series.unionByName(stim.select(*series.columns))
 
 
 def event_epochs(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
