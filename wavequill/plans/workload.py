@@ -122,13 +122,13 @@ def epoch_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH"
     + EVT
-    + """, stim AS (SELECT element, sample AS at, row_number() OVER (PARTITION BY element ORDER BY sample) - 1 AS epoch FROM evt WHERE channel = 'click' AND event_id % 7 = 0)
+    + """, stim AS (SELECT element, sample AS at, row_number() OVER (PARTITION BY element ORDER BY sample) - 1 AS epoch FROM evt WHERE channel = 'click')
 SELECT s.element, CAST(s.epoch AS INT) AS epoch, e.channel, round(avg(e.value), 6) + 0.0 AS value FROM stim s JOIN evt e ON e.element = s.element AND e.sample BETWEEN s.at - 2 AND s.at + 3
 GROUP BY s.element, s.epoch, e.channel HAVING count(*) = 6"""
 )
 def epoch_events_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = tables.event_samples(spark, sf_dir)
-    events = samples.where("channel = 'click' AND event_id % 7 = 0").select("element", "sample", F.lit(1).alias("code"))
+    events = samples.where("channel = 'click'").select("element", "sample", F.lit(1).alias("code"))
     out = signals.event_epochs(samples, events, 2, 3)
     return out.groupBy("element", "epoch", "channel").agg(r6(F.avg("value")).alias("value"))
 
@@ -219,7 +219,7 @@ def ref_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH" + VEC + "SELECT element, epoch, channel, t AS t_idx, round(value - avg(CASE WHEN channel IN ('E1', 'E2') THEN value END) OVER (PARTITION BY element, epoch, t), 6) + 0.0 AS value FROM vec")
 def ref_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals.explode_samples(tables.vector_epochs(spark, sf_dir))
-    return ref.reference(s, ["E1", "E2"]).select("element", "epoch", "channel", "t_idx", r6("value").alias("value"))
+    return ref.reference(s, ["E1", "E2"], now=False).select("element", "epoch", "channel", "t_idx", r6("value").alias("value"))
 
 
 # ---- rejection -----------------------------------------------------------------------------------
@@ -252,7 +252,7 @@ def bad_epochs_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH" + VEC + _SPANS + _BAD_EPOCHS + "SELECT element, count(DISTINCT epoch) AS n_epochs, round(sum(value), 6) + 0.0 AS total FROM vec ANTI JOIN bad USING (element, epoch) GROUP BY element")
 def drop_bad_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, _ = reject.reject_epochs(tables.vector_epochs(spark, sf_dir), {"eeg": 0.45}, 0.3, 0.1)
+    left, _ = reject.reject_epochs(tables.vector_epochs(spark, sf_dir), {"eeg": 0.45}, 0.3, 0.1, now=False)
     return left.groupBy("element").agg(F.countDistinct("epoch").alias("n_epochs"), r6(F.sum(F.aggregate("data", F.lit(0.0), lambda s, x: s + x))).alias("total"))
 
 
