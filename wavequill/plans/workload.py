@@ -513,13 +513,78 @@ def filter_iir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("element", "channel", F.size("data").alias("n"), r6(F.aggregate("data", F.lit(0.0), lambda s, x: s + x * x)).alias("power"))
 
 
-@query()
+def zero_phase_sql(source: str, kind: str, edge: str, order: int, pad: int) -> str:
+    """Common table expressions that filter ``source`` (key, t from 0, v) forwards and backwards: ``filtered`` (key, t, v).
+
+    Butterworth of an even order as biquads by the bilinear transform, each section's textbook coefficients from the edge over the
+    rate; an odd extension of ``pad`` samples; every section starts as after an endless input of the first value. Runs go sample by sample.
+    """
+    n = order // 2
+    sections = range(1, n + 1)
+    q = {i: f"(1.0 / (2 * sin((2 * {i} - 1) * pi() / {2 * order})))" for i in sections}
+    gain = "1" if kind == "high" else "k * k"
+    middle = "-2 * b0" if kind == "high" else "2 * b0"
+    coefficients = ", ".join(f"w{i} AS (SELECT {gain} / (1 + k / {q[i]} + k * k) AS b0, 2 * (k * k - 1) / (1 + k / {q[i]} + k * k) AS a1, (1 - k / {q[i]} + k * k) / (1 + k / {q[i]} + k * k) AS a2 FROM warp)" for i in sections)
+    row = ", ".join(f"w{i}.b0 AS b{i}0, {middle.replace('b0', f'w{i}.b0')} AS b{i}1, w{i}.a1 AS a{i}1, w{i}.a2 AS a{i}2" for i in sections)
+    # Level of each section after an endless unit step, and its two states.
+    levels = {0: "1.0", **{i: f"l{i}" for i in sections}}
+    steady = "c0 AS (SELECT * FROM co)"
+    for i in sections:
+        level = f"({levels[i - 1]} * (2 * b{i}0 + b{i}1) / (1 + a{i}1 + a{i}2))"
+        steady += f", c{i} AS (SELECT *, {level} AS l{i}, {levels[i - 1]} * b{i}0 - a{i}2 * {level} AS y{i}, {levels[i - 1]} * (b{i}1 + b{i}0) - (a{i}1 + a{i}2) * {level} AS x{i} FROM c{i - 1})"
+
+    def run(name: str, listed: str) -> str:
+        start = ", ".join(f"x{i} * xs[1] AS p{i}, y{i} * xs[1] AS r{i}" for i in sections)
+        inner = f"SELECT f.key, f.i + 1 AS i, l.xs[f.i + 1] AS o0, f.*, c.* EXCLUDE (key) FROM {name} f JOIN {listed} l ON l.key = f.key, (SELECT 0 AS key, * FROM c{n}) c WHERE f.i < len(l.xs)"
+        for i in sections:
+            inner = f"SELECT *, b{i}0 * o{i - 1} + p{i} AS o{i} FROM ({inner})"
+        states = ", ".join(f"b{i}1 * o{i - 1} - a{i}1 * o{i} + r{i} AS p{i}, b{i}0 * o{i - 1} - a{i}2 * o{i} AS r{i}" for i in sections)
+        first = ", ".join(f"p{i}, r{i}" for i in sections)
+        return f"""{name}(key, i, v, {first}) AS (
+  SELECT key, 0, CAST(0 AS DOUBLE), {start} FROM {listed}, c{n}
+  UNION ALL
+  SELECT key, CAST(i + 1 AS INT), o{n}, {states} FROM ({inner.replace("f.i + 1 AS i, ", "").replace("f.*, ", "f.i, " + ", ".join(f"f.p{i}, f.r{i}" for i in sections) + ", ")}))"""
+
+    return f"""warp AS (SELECT tan(pi() * ({edge})) AS k), {coefficients}, co AS (SELECT {row} FROM {", ".join(f"w{i}" for i in sections)}), {steady},
+plain AS (SELECT key, list(v ORDER BY t) AS x FROM {source} GROUP BY key),
+wide AS (SELECT key, [2 * x[1] - x[{pad} + 1 - j] FOR j IN range(0, {pad})] || x || [2 * x[len(x)] - x[len(x) - 1 - j] FOR j IN range(0, {pad})] AS xs FROM plain),
+{run("ahead", "wide")}, turned AS (SELECT key, list(v ORDER BY i DESC) AS xs FROM ahead WHERE i > 0 GROUP BY key),
+{run("back", "turned")}, ended AS (SELECT key, list(v ORDER BY i DESC) AS ys FROM back WHERE i > 0 GROUP BY key),
+filtered AS (SELECT key, unnest(range(0, len(ys) - {2 * pad})) AS t, unnest(ys[{pad} + 1 : len(ys) - {pad}]) AS v FROM ended)
+"""
+
+
+_HF = (
+    "WITH RECURSIVE"
+    + VEC
+    + ", j AS (SELECT element || ',' || channel AS key, element, channel, row_number() OVER (PARTITION BY element, channel ORDER BY epoch, t) - 1 AS t, value AS v FROM vec), "
+    + zero_phase_sql("j", "high", "25.0 / 64", 4, 15)
+    + """, s AS (SELECT split_part(key, ',', 1) AS e, split_part(key, ',', 2) AS channel, stddev_pop(v) AS value FROM filtered GROUP BY ALL),
+one AS (SELECT *, stddev_pop(value) OVER w > 0 AND abs(value - avg(value) OVER w) > 1.5 * stddev_pop(value) OVER w AS b FROM s WINDOW w AS (PARTITION BY e)),
+two AS (SELECT *, b OR (stddev_pop(value) FILTER (WHERE NOT b) OVER w > 0 AND abs(value - avg(value) FILTER (WHERE NOT b) OVER w) > 1.5 * stddev_pop(value) FILTER (WHERE NOT b) OVER w) AS c FROM one WINDOW w AS (PARTITION BY e))
+SELECT CAST(e AS INT) AS element, channel, round(value, 6) + 0.0 AS value, c AS is_bad FROM two"""
+)
+
+
+@query(_HF)
 def hf_bad_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.vector_epochs(spark, sf_dir).withColumn("sfreq", F.lit(64.0))
     return reject.bad_channels_by_high_frequencies(rows, 1.5).select("element", "channel", r6("value").alias("value"), "is_bad")
 
 
-@query()
+_PE_FILTERED = (
+    "WITH RECURSIVE"
+    + EPOCHS
+    + ", j AS (SELECT element || ',' || channel AS key, epoch * 10 + t AS t, value AS v FROM ep), "
+    + zero_phase_sql("j", "low", "1.0 / 3", 6, 21)
+    + f""", g AS (SELECT split_part(key, ',', 1) AS e, split_part(key, ',', 2) AS channel, t // 10 AS epoch, t % 10 AS t, v FROM filtered),
+l AS (SELECT e, channel, epoch, t, v AS a, lead(v, 1) OVER w AS b, lead(v, 2) OVER w AS c FROM g WINDOW w AS (PARTITION BY e, channel, epoch ORDER BY t)),
+s AS (SELECT e, channel, epoch, {_SYMBOL} AS sym, count(*) AS n FROM l WHERE t <= 7 GROUP BY ALL)
+SELECT CAST(e AS INT) AS element, channel, CAST(epoch AS INT) AS epoch, round(-sum(n / 8.0 * ln(n / 8.0)) / ln(6), 6) + 0.0 AS value FROM s GROUP BY e, channel, epoch"""
+)
+
+
+@query(_PE_FILTERED)
 def perm_entropy_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filters.ordinal_low_pass(tables.event_epochs(spark, sf_dir), 3, 1)
     return ordinal.permutation_entropy(rows, (1,), 3).select("element", "channel", "epoch", r6("value").alias("value"))
@@ -541,24 +606,65 @@ def _ring() -> dict[str, tuple[float, float, float]]:
     return {f"E{i + 1}": (float(np.cos(a) * np.sqrt(1 - h * h)), float(np.sin(a) * np.sqrt(1 - h * h)), float(h)) for i, (a, h) in enumerate(zip(angle, height, strict=True))}
 
 
-def _interp_sql() -> str:
-    import numpy as np
+#: Places of ``_ring``, cosines between them, Legendre polynomials by their recursion, and the spline sums of both powers.
+_SPLINES = """
+place AS (SELECT CAST(i AS INT) AS i, 'E' || (i + 1) AS ch, cos(pi() * i / 4) * sqrt(1 - pow(0.3 + 0.05 * i, 2)) AS x, sin(pi() * i / 4) * sqrt(1 - pow(0.3 + 0.05 * i, 2)) AS y, 0.3 + 0.05 * i AS z FROM range(8) r(i)),
+angle AS (SELECT a.i, b.i AS j, greatest(-1, least(1, a.x * b.x + a.y * b.y + a.z * b.z)) AS c FROM place a, place b),
+leg(i, j, c, n, p, before) AS (SELECT i, j, c, 1, c, CAST(1 AS DOUBLE) FROM angle UNION ALL SELECT i, j, c, n + 1, ((2 * n + 1) * c * p - n * before) / (n + 1), p FROM leg WHERE n < 50),
+spline AS (SELECT i, j, sum((2 * n + 1) / pow(n * (n + 1.0), 4) * p) / (4 * pi()) AS g, sum((2 * n + 1) / pow(n * (n + 1.0), 3) * p) / (4 * pi()) AS h FROM leg GROUP BY i, j)
+"""
+
+
+def solved_sql(name: str, rows: str, size: int) -> str:
+    """Gauss and Jordan's elimination: ``name`` (k, m), of which step ``size`` holds the rows of ``rows`` (r, row: a square part and right sides) solved."""
+    return f"""{name}(k, m) AS (
+  SELECT 0, list(row ORDER BY r) FROM {rows}
+  UNION ALL
+  SELECT k + 1, [CASE WHEN r = k + 1 THEN [v / m[k + 1][k + 1] FOR v IN m[r]] ELSE [m[r][c] - m[r][k + 1] * m[k + 1][c] / m[k + 1][k + 1] FOR c IN range(1, len(m[r]) + 1)] END FOR r IN range(1, {size} + 1)]
+  FROM {name} WHERE k < {size})"""
+
 
-    p = _ring()
-    good, bad = [c for c in p if c not in ("E2", "E7")], ["E2", "E7"]
-    w = interpolate.spline_weights(np.array([p[c] for c in good]), np.array([p[c] for c in bad]), origin=None)
-    rows = ", ".join(f"('{b}', '{g}', {float(w[i, j])!r})" for i, b in enumerate(bad) for j, g in enumerate(good))
-    return "WITH" + VEC + f", w(bad, good, w) AS (VALUES {rows}) SELECT element, epoch, bad AS channel, t AS t_idx, round(sum(w * value), 6) + 0.0 AS value FROM vec JOIN w ON good = channel GROUP BY element, epoch, bad, t"
+# Bad places 1 and 6 from the six others: the spline system with a constant, and the bad places' values as right sides.
+_INTERP_SQL = (
+    "WITH RECURSIVE"
+    + VEC
+    + ","
+    + _SPLINES
+    + """, good AS (SELECT i, row_number() OVER (ORDER BY i) AS r FROM place WHERE i NOT IN (1, 6)),
+sys AS (SELECT a.r, list(s.g + CASE WHEN a.r = b.r THEN 1e-5 ELSE 0 END ORDER BY b.r) || [1.0] || [(SELECT o.g FROM spline o WHERE o.i = 1 AND o.j = a.i), (SELECT o.g FROM spline o WHERE o.i = 6 AND o.j = a.i)] AS row
+  FROM good a, good b JOIN spline s ON s.i = a.i AND s.j = b.i GROUP BY a.r, a.i UNION ALL SELECT 7, [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 1.0]),
+"""
+    + solved_sql("solved", "sys", 7)
+    + """, w AS (SELECT CASE b WHEN 1 THEN 'E2' ELSE 'E7' END AS bad, 'E' || (i + 1) AS good, m[r][7 + b] AS w FROM solved, good, range(1, 3) q(b) WHERE k = 7)
+SELECT element, epoch, bad AS channel, t AS t_idx, round(sum(w * value), 6) + 0.0 AS value FROM vec JOIN w ON good = channel GROUP BY element, epoch, bad, t"""
+)
 
 
-@query(_interp_sql())
+@query(_INTERP_SQL)
 def spherical_interp_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals.explode_samples(tables.vector_epochs(spark, sf_dir))
     out = interpolate.interpolate(s, _ring(), ["E2", "E7"])
     return out.where("channel in ('E2', 'E7')").select("element", "epoch", "channel", "t_idx", r6("value").alias("value"))
 
 
-@query()
+# The inverse of the spline matrix, its part without a constant, and the Laplacian's sums over average-referenced values; the places lie on a sphere of radius 1.
+_CSD_SQL = (
+    "WITH RECURSIVE"
+    + VEC
+    + ","
+    + _SPLINES
+    + """, sys AS (SELECT i + 1 AS r, list(g + CASE WHEN i = j THEN 1e-5 ELSE 0 END ORDER BY j) || [CASE WHEN i = q THEN 1.0 ELSE 0.0 END FOR q IN range(0, 8)] AS row FROM spline GROUP BY i),
+"""
+    + solved_sql("solved", "sys", 8)
+    + """, inv AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, m[i + 1][9 + j] AS v FROM solved, range(8) a(i), range(8) b(j) WHERE k = 8),
+part AS (SELECT i, j, v - (sum(v) OVER (PARTITION BY i)) * (sum(v) OVER (PARTITION BY j)) / (sum(v) OVER ()) AS v FROM inv),
+tot AS (SELECT element, epoch, ch_idx AS j, sum(value) - avg(sum(value)) OVER (PARTITION BY element, epoch) AS s FROM vec GROUP BY element, epoch, ch_idx),
+c AS (SELECT element, epoch, i, sum(v * s) AS c FROM part JOIN tot USING (j) GROUP BY element, epoch, i)
+SELECT element, epoch, 'E' || (spline.i + 1) AS channel, round(sum(h * c), 6) + 0.0 AS total FROM c JOIN spline ON spline.j = c.i GROUP BY element, epoch, spline.i"""
+)
+
+
+@query(_CSD_SQL)
 def csd(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
