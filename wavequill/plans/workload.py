@@ -5,6 +5,7 @@ Results are rounded to six places in both engines, as sums run in different orde
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -507,13 +508,7 @@ def time_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- filters and spline matrices -----------------------------------------------------------------
 
 
-@query()
-def filter_iir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = filters.clean(tables.event_series(spark, sf_dir), high_pass=0.1, low_pass=3.0, notches=(2.0,), resample=8.0)
-    return out.select("element", "channel", F.size("data").alias("n"), r6(F.aggregate("data", F.lit(0.0), lambda s, x: s + x * x)).alias("power"))
-
-
-def zero_phase_sql(source: str, kind: str, edge: str, order: int, pad: int) -> str:
+def zero_phase_sql(source: str, kind: str, edge: str, order: int, pad: int, prefix: str = "") -> str:
     """Common table expressions that filter ``source`` (key, t from 0, v) forwards and backwards: ``filtered`` (key, t, v).
 
     Butterworth of an even order as biquads by the bilinear transform, each section's textbook coefficients from the edge over the
@@ -545,13 +540,14 @@ def zero_phase_sql(source: str, kind: str, edge: str, order: int, pad: int) -> s
   UNION ALL
   SELECT key, CAST(i + 1 AS INT), o{n}, {states} FROM ({inner.replace("f.i + 1 AS i, ", "").replace("f.*, ", "f.i, " + ", ".join(f"f.p{i}, f.r{i}" for i in sections) + ", ")}))"""
 
-    return f"""warp AS (SELECT tan(pi() * ({edge})) AS k), {coefficients}, co AS (SELECT {row} FROM {", ".join(f"w{i}" for i in sections)}), {steady},
+    out = f"""warp AS (SELECT tan(pi() * ({edge})) AS k), {coefficients}, co AS (SELECT {row} FROM {", ".join(f"w{i}" for i in sections)}), {steady},
 plain AS (SELECT key, list(v ORDER BY t) AS x FROM {source} GROUP BY key),
 wide AS (SELECT key, [2 * x[1] - x[{pad} + 1 - j] FOR j IN range(0, {pad})] || x || [2 * x[len(x)] - x[len(x) - 1 - j] FOR j IN range(0, {pad})] AS xs FROM plain),
 {run("ahead", "wide")}, turned AS (SELECT key, list(v ORDER BY i DESC) AS xs FROM ahead WHERE i > 0 GROUP BY key),
 {run("back", "turned")}, ended AS (SELECT key, list(v ORDER BY i DESC) AS ys FROM back WHERE i > 0 GROUP BY key),
 filtered AS (SELECT key, unnest(range(0, len(ys) - {2 * pad})) AS t, unnest(ys[{pad} + 1 : len(ys) - {pad}]) AS v FROM ended)
 """
+    return re.sub(r"\b(warp|w\d|co|c\d|plain|wide|ahead|turned|back|ended|filtered)\b", rf"{prefix}\1", out) if prefix else out
 
 
 _HF = (
@@ -590,6 +586,33 @@ def perm_entropy_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.permutation_entropy(rows, (1,), 3).select("element", "channel", "epoch", r6("value").alias("value"))
 
 
+# Notch and resampling by plain Fourier sums over the odd extension of a second at both ends; bins of a shorter signal are the first ones.
+_FILTER_SQL = (
+    "WITH RECURSIVE"
+    + EVT
+    + """, x AS (SELECT element || ',' || channel AS key, sample AS t, value - avg(value) OVER (PARTITION BY element, channel) AS v FROM evt), """
+    + zero_phase_sql("x", "high", "0.1 / 10", 4, 15, "h")
+    + ", "
+    + zero_phase_sql("hfiltered", "low", "3.0 / 10", 8, 27, "l")
+    + """, e1 AS (SELECT key, len(x) AS n, [2 * x[1] - x[11 - j] FOR j IN range(0, 10)] || x || [2 * x[len(x)] - x[len(x) - 1 - j] FOR j IN range(0, 10)] AS xs FROM (SELECT key, list(v ORDER BY t) AS x FROM lfiltered GROUP BY key)),
+b1 AS (SELECT key, n, len(xs) AS m, k, list_sum([xs[t + 1] * cos(2 * pi() * k * t / len(xs)) FOR t IN range(0, len(xs))]) AS re, -list_sum([xs[t + 1] * sin(2 * pi() * k * t / len(xs)) FOR t IN range(0, len(xs))]) AS im FROM e1, LATERAL (SELECT unnest(range(0, len(xs) // 2 + 1)) AS k)),
+g1 AS (SELECT *, CASE WHEN abs(k * 10.0 / m - 2) <= 0.5 THEN 0 WHEN abs(k * 10.0 / m - 2) >= 1 THEN 1 ELSE 0.5 - 0.5 * cos(pi() * (abs(k * 10.0 / m - 2) - 0.5) / 0.5) END * CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END / m AS g FROM b1),
+l1 AS (SELECT key, any_value(n) AS n, any_value(m) AS m, list(re * g ORDER BY k) AS re, list(im * g ORDER BY k) AS im FROM g1 GROUP BY key),
+y1 AS (SELECT key, n, [list_sum([re[k + 1] * cos(2 * pi() * k * t / m) - im[k + 1] * sin(2 * pi() * k * t / m) FOR k IN range(0, len(re))]) FOR t IN range(10, 10 + n)] AS x FROM l1),
+e2 AS (SELECT key, n, [2 * x[1] - x[11 - j] FOR j IN range(0, 10)] || x || [2 * x[len(x)] - x[len(x) - 1 - j] FOR j IN range(0, 10)] AS xs, CAST(round((n + 20) * 0.8) AS BIGINT) AS size FROM y1),
+b2 AS (SELECT key, n, size, len(xs) AS m, k, list_sum([xs[t + 1] * cos(2 * pi() * k * t / len(xs)) FOR t IN range(0, len(xs))]) AS re, -list_sum([xs[t + 1] * sin(2 * pi() * k * t / len(xs)) FOR t IN range(0, len(xs))]) AS im FROM e2, LATERAL (SELECT unnest(range(0, size // 2 + 1)) AS k)),
+l2 AS (SELECT key, any_value(n) AS n, any_value(size) AS size, list(re * CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END / m ORDER BY k) AS re, list(im * CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END / m ORDER BY k) AS im FROM b2 GROUP BY key),
+y2 AS (SELECT key, [list_sum([re[k + 1] * cos(2 * pi() * k * t / size) - im[k + 1] * sin(2 * pi() * k * t / size) FOR k IN range(0, len(re))]) FOR t IN range(8, 8 + CAST(round(n * 0.8) AS BIGINT))] AS y FROM l2)
+SELECT CAST(split_part(key, ',', 1) AS INT) AS element, split_part(key, ',', 2) AS channel, CAST(len(y) AS INT) AS n, round(list_sum([v * v FOR v IN y]), 6) + 0.0 AS power FROM y2"""
+)
+
+
+@query(_FILTER_SQL)
+def filter_iir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filters.clean(tables.event_series(spark, sf_dir), high_pass=0.1, low_pass=3.0, notches=(2.0,), resample=8.0)
+    return out.select("element", "channel", F.size("data").alias("n"), r6(F.aggregate("data", F.lit(0.0), lambda s, x: s + x * x)).alias("power"))
+
+
 @query()
 def spindles_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = tables.event_series(spark, sf_dir).withColumn("sfreq", F.lit(100.0))
