@@ -217,6 +217,14 @@ def test_jaccard_join_finds_all_links(spark, docs, empty):
     assert sum(got.values()) >= 0.999 * sum(want) and all(got[i] <= want[i] for i in got)
 
 
+def test_filters_and_mix_keep_columns_of_any_name(docs):
+    """Columns called like those that the operators make stay as they are."""
+    named = docs.withColumns({c: F.lit(c) for c in ("row", "key", "mark", "gone", "again", "n", "plan", "mix", "h", "whole", "below", "also", "col", "copies", "band", "low", "__id", "__mix", "a.b")})
+    for out in (jaccard.keep_one(named), mixing.repeat(named)):
+        assert out.columns == named.columns and out.count() > 0
+        assert all(r[c] == c for r in out.collect() for c in ("row", "key", "mark", "plan", "h", "a.b"))
+
+
 def test_keep_one_keeps_a_row_of_each_class(docs):
     left = jaccard.keep_one(docs)
     assert left.columns == docs.columns

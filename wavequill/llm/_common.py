@@ -22,16 +22,21 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where unset in local mode; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wavequill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let the session's Arrow batches be no larger than the bounds above; smaller settings stay."""
+    """Let the session's Arrow batches be no larger than the bounds above; smaller settings stay.
+
+    The bounds remain for the session: results are lazy, and Spark reads these settings when a result is computed.
+    """
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
         digits, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", spark.conf.get(key).lower()).groups()
         now = int(digits) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]

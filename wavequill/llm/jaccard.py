@@ -429,10 +429,13 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     classes, _ = similar_classes(docs, threshold)
     linked = classes.where("n_links > 0")
-    gone = linked.where(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark")))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    repeated = linked.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))).groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    mark = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    on = lambda side: docs["doc_id"].cast("long").eqNullSafe(side["__id"]) & (mark == side["__mark"])
-    kept = docs.join(gone, on(gone), "left_anti")
-    once = kept.join(repeated, on(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, on(repeated), "left_anti").unionByName(once)
+    head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
+    key = F.struct("doc_id", "mark")
+    gone = linked.where(~head).select(key.alias("gone")).distinct()
+    repeated = linked.where(head).groupBy(key.alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
+    # Everything of the input is in one column, so that no name can clash.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("mark")).alias("key"))
+    kept = rows.join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    once = kept.join(repeated, F.col("key").eqNullSafe(F.col("again")), "left_semi").dropDuplicates(["key"])
+    return kept.join(repeated, F.col("key").eqNullSafe(F.col("again")), "left_anti").unionByName(once).select("row.*")

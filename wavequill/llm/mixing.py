@@ -80,7 +80,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, se
     ``docs``, and the scratch folder that it reads. A source with a target above its size is taken
     whole as often as it fits; the remainder is a set of documents whose hash lies below a
     threshold. Levels of histograms find it: words by source and leading hash digits, then the
-    same within the boundary bucket alone, until the boundary is one hash value; that one is taken
+    same within the boundary bucket alone, until the boundary is one hash value (most often after two levels); that one is taken
     if this brings the source nearer to its target. Smaller budgets take subsets of larger ones, no
     documents are sorted, and reruns agree, as the hash is of seed and doc_id.
 
@@ -102,11 +102,11 @@ def repeat(docs: DataFrame) -> DataFrame:
     the thresholds of the sources, all that is needed, are sent to every task.
     """
     threshold = plan(docs)[0]
-    base = docs.select("*", F.struct(F.col("source").cast("string").alias("s"), _hash("mix").alias("h")).alias("__mix"))
-    met = base.join(F.broadcast(threshold.select(F.struct("source", "source_size", "whole", "below", "also").alias("__plan"))), F.col("__mix.s").eqNullSafe(F.col("__plan.source")))
-    copies = _copies(F.col("__mix.h"), F.col("__plan.whole"), F.col("__plan.below"), F.col("__plan.also"))
-    taken = met.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Everything of the input is in one column and everything made beside it in another, so that no name can clash.
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("source").cast("string").alias("s"), _hash("mix").alias("h")).alias("mix"))
+    met = base.join(F.broadcast(threshold.select(F.struct("source", "whole", "below", "also").alias("plan"))), F.col("mix.s").eqNullSafe(F.col("plan.source")))
+    copies = _copies(F.col("mix.h"), F.col("plan.whole"), F.col("plan.below"), F.col("plan.also"))
+    return met.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
 
 
 def _thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -114,18 +114,18 @@ def _thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     spark = sized.sparkSession
     state = {r["source"]: {"prefix": "", "spent": 0, **r.asDict()} for r in plan.collect()}
     for level in range(1, LEVELS + 1):
-        going = [(s, x["prefix"]) for s, x in state.items() if x["prefix"] is not None]
+        going = [(s, x["prefix"]) for s, x in state.items() if x["prefix"] is not None and len(x["prefix"]) < LEVEL_DIGITS * level]
         if not going:
             break
         bounds = spark.createDataFrame(going, "source string, prefix string")
         n = LEVEL_DIGITS * level
         inside = sized.alias("d").join(F.broadcast(bounds).alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & F.col("d.h").startswith(F.col("b.prefix")))
-        histogram = inside.groupBy("d.source", F.substring("d.h", 1, n).alias("bucket")).agg(F.sum("d.size").alias("n"))
+        histogram = inside.groupBy("d.source", F.substring("d.h", 1, n).alias("bucket")).agg(F.sum("d.size").alias("n"), F.min("d.h").alias("least"), F.max("d.h").alias("most"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         budgets = spark.createDataFrame([(s, float(state[s]["budget"] - state[s]["spent"])) for s, _ in going], "source string, room double")
         # The boundary bucket is the first that would pass the budget; at most 16^LEVEL_DIGITS buckets a source.
         summed = histogram.withColumn("upto", F.sum("n").over(upto)).alias("h").join(F.broadcast(budgets).alias("g"), F.col("h.source").eqNullSafe(F.col("g.source")))
-        found = summed.where(F.col("h.upto") > F.col("g.room")).groupBy("h.source").agg(F.min(F.struct("h.bucket", "h.upto", "h.n")).alias("b")).collect()
+        found = summed.where(F.col("h.upto") > F.col("g.room")).groupBy("h.source").agg(F.min(F.struct("h.bucket", "h.upto", "h.n", "h.least", "h.most")).alias("b")).collect()
         met = {r["source"]: r["b"] for r in found}
         for s, _ in going:
             x = state[s]
@@ -134,7 +134,8 @@ def _thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
             else:
                 b = met[s]
                 x["spent"] += b["upto"] - b["n"]
-                x |= {"prefix": b["bucket"], "last": b["n"]}
+                # A bucket of one hash value is the boundary itself: no further level has to look into it.
+                x |= {"prefix": b["least"] if b["least"] == b["most"] else b["bucket"], "last": b["n"]}
     out = []
     for s, x in state.items():
         if x["prefix"] is None:
