@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavequill.operators import reject, signals
+from wavequill.functions import names
+from wavequill.operators import decoding, reject, signals
 from wavequill.plans import config
 from wavequill.sources import formats, recordings, shared, store, tables
 
@@ -296,3 +297,32 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared.shared_dir(Session())
+
+
+def test_data_types_and_subjects(spark):
+    recordings.check_patterns({"EEG": {"pattern": "{subject}/*.fif", "space": "native", "mask": {"pattern": "m", "space": "native"}}})
+    for wrong in ({"MEG": {"pattern": "x"}}, {"EEG": {"space": "native"}}, {"EEG": {"pattern": "x", "colour": 1}}, {"EEG": {"pattern": "x", "mask": {"pattern": "m"}}}):
+        with pytest.raises(ValueError):
+            recordings.check_patterns(wrong)
+    df = spark.createDataFrame([("e", None, "s2", "s3"), ("e", "s1", None, None), ("e", None, None, None)], "element string, subject string, subject_id string, sub string")
+    assert [r[0] for r in df.select(names.subject_of(df.columns)).collect()] == ["s2", "s1", "e"]
+    assert [r[0] for r in df.select("element").select(names.subject_of(["element"])).collect()] == ["e"] * 3
+
+
+def test_area_under_the_curve_by_pairs():
+    rng = np.random.default_rng(6)
+    y, score, weight = rng.integers(0, 2, 80), rng.integers(0, 9, 80) / 3, rng.uniform(0.1, 2, 80)
+    for w in (None, weight):
+        v = np.ones(80) if w is None else w
+        pairs = [(v[i] * v[j], (score[i] > score[j]) + 0.5 * (score[i] == score[j])) for i in range(80) for j in range(80) if y[i] == 1 and y[j] == 0]
+        assert np.isclose(decoding.auc(y, score, w), sum(a * b for a, b in pairs) / sum(a for a, _ in pairs))
+
+
+def test_decoding_asks_for_exact_conditions_and_takes_tags(spark):
+    """Element a has both conditions by name, and one more epoch by tag; b has only tags, so that it is at chance."""
+    rng = np.random.default_rng(0)
+    rows = [(e, k, c, 0, "E1", 10.0, 0.0, (rng.normal(size=4) * 0.1 + (3.0 if c.startswith("hi") else 0.0)).tolist()) for e, names_ in (("a", ["hi", "lo", "hi/loud"]), ("b", ["hi/loud", "lo/x"])) for k, c in enumerate(names_ * 6)]
+    df = spark.createDataFrame(rows, "element string, epoch int, condition string, ch_idx int, channel string, sfreq double, tmin double, data array<double>")
+    out = {r["element"]: r["value"] for r in decoding.window_decoding(df, ["hi"], ["lo"], n_splits=3).collect()}
+    assert out == {"a": 1.0, "b": 0.5}
+    assert decoding._labelled(df, ["hi"], ["lo"], None, None, ["element"]).count() == 18

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,3 +47,9 @@ def stage_name(path: str) -> str:
     """The stage that an intermediate file's name tells: its stem without number and _eeg."""
     stem = re.sub(r"\.[^.]*$", "", path.rstrip("/").rpartition("/")[2])
     return re.sub(r"_eeg$", "", re.sub(r"^\d+[_-]", "", stem))
+
+
+def subject_of(columns: Sequence[str], last: str = "element") -> Column:
+    """Whose row it is: the first of subject, subject_id and sub that is there and not null, else the ``last`` column."""
+    known = [c for c in ("subject", "subject_id", "sub", last) if c in columns]
+    return F.coalesce(*(F.col(c).cast("string") for c in known)) if known else F.lit(None).cast("string")

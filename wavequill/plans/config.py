@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aggregate import aggregate, aggregate_pairs
-from ..functions.names import normalise_subject, stage_name
+from ..functions.names import normalise_subject, subject_of
 from ..operators import complexity, decoding, filters, interpolate, ordinal, reference, reject, signals, spectral, spindles, timelocked, waves
 from ..operators.select import eeg_channels, resolve_rois, select_channels
 from ..sources import recordings, shared, store, tables
@@ -22,6 +22,8 @@ Step = Callable[[DataFrame, dict[str, Any]], DataFrame]
 
 def _pattern(p: Mapping[str, Any]) -> str:
     patterns = p.get("patterns")
+    if isinstance(patterns, Mapping):
+        recordings.check_patterns(patterns)
     return patterns.get("EEG", {}).get("pattern", "{subject}/*.fif") if isinstance(patterns, Mapping) else p.get("pattern", "{subject}/*.fif")
 
 
@@ -248,14 +250,14 @@ def _waves(found: DataFrame, df: DataFrame, p: dict[str, Any], columns: tuple[st
 
 
 def _thresholds(df: DataFrame, p: dict[str, Any]) -> DataFrame | None:
-    """element, channel, ptp_threshold of a CSV table by subject, where an element is a subject."""
+    """element, channel, ptp_threshold of a CSV table by subject: the rows' own, or the element where they tell none."""
     if not p.get("ptp_thresholds_path") or p.get("ptp_threshold_mode", "adaptive") == "fixed":
         return None
-    who = lambda c: normalise_subject(F.col(c).cast("string")).alias("__who")
-    given = df.sparkSession.read.csv(p["ptp_thresholds_path"], header=True).select(who("subject"), "channel", F.col("ptp_threshold").cast("double").alias("ptp_threshold"))
+    who = lambda c: normalise_subject(c).alias("__who")
+    given = df.sparkSession.read.csv(p["ptp_thresholds_path"], header=True).select(who(F.col("subject").cast("string")), "channel", F.col("ptp_threshold").cast("double").alias("ptp_threshold"))
     if twice := given.groupBy("__who", "channel").count().where("count > 1").first():
         raise ValueError(f"more than one threshold for subject {twice['__who']!r}, channel {twice['channel']!r}")
-    elements = df.select("element", who("element")).distinct()
+    elements = df.select("element", who(subject_of(df.columns))).distinct()
     if p.get("ptp_thresholds_strict", True) and (lacking := elements.join(given, "__who", "left_anti").first()):
         raise ValueError(f"no thresholds for subject {lacking['element']!r}")
     return elements.join(given, "__who").drop("__who")

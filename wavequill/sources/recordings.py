@@ -20,6 +20,24 @@ EXTENSIONS = {
 }
 
 
+#: What a pattern of a data type has to tell, and may tell; a mask's pattern likewise. The space is "native" where nothing is said.
+DATA_TYPES = {"EEG": {"mandatory": ("pattern",), "optional": {"space": None, "mask": ("pattern", "space")}}}
+
+
+def check_patterns(patterns: Mapping[str, Mapping]) -> None:
+    """Refuse data types and keys that aren't known, and lacking ones."""
+    for kind, given in patterns.items():
+        if kind not in DATA_TYPES:
+            raise ValueError(f"unknown data type {kind!r}; known are {', '.join(DATA_TYPES)}")
+        known = DATA_TYPES[kind]
+        if missing := [k for k in known["mandatory"] if not given.get(k)]:
+            raise ValueError(f"{kind}: the pattern lacks {missing}")
+        if strange := [k for k in given if k not in known["mandatory"] and k not in known["optional"]]:
+            raise ValueError(f"{kind}: unknown keys {strange}")
+        if given.get("mask") and (missing := [k for k in known["optional"]["mask"] if k not in given["mask"]]):
+            raise ValueError(f"{kind}: the mask lacks {missing}")
+
+
 def format_of(path: str) -> str:
     for ext in sorted(EXTENSIONS, key=len, reverse=True):
         if path.lower().endswith(ext):
