@@ -165,6 +165,21 @@ def test_mix_targets_share_by_weight_and_stop_at_three_sizes():
     assert mixing.targets([]) == {} and mixing.targets([("a", 5)]) == {"a": 5.0}
 
 
+def test_goals_of_a_table_equal_targets(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 400):
+        sizes = [("saé😀"[: 1 + i % 4] + f"{i:03d}", int(x)) for i, x in enumerate(rng.integers(0, 50, n) ** 3)] + [(None, 900)] * (n > 2)
+        out, count = mixing.goals(spark.createDataFrame(sizes, "source string, n long").repartition(5), jaccard.Scratch(spark, "goals"), (1, 2, 3), 3)
+        want = mixing.targets(sizes)
+        got = {r["source"]: r["target"] for r in out.collect()}
+        assert count == len(sizes) and got.keys() == want.keys() and all(np.isclose(got[k], want[k], rtol=1e-12) for k in want)
+    # Many sources are joined by a shuffle, with the same result.
+    many = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", "nullif(concat('s', id % 50), 's7') as source")
+    few = rows_of(mixing.mix(many)[0], "doc_id", "taken", "target")
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 3)
+    assert rows_of(mixing.mix(many)[0], "doc_id", "taken", "target") == few and mixing.repeat(many).count() == mixing.mix(many)[0].agg({"copies": "sum"}).first()[0]
+
+
 def test_mix_comes_near_its_targets(spark, docs, empty):
     out = mixing.mix(docs)[0].collect()
     assert len(out) == len(TEXTS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +46,8 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] =
     return out
 
 
-#: Sources that are expected at most: their totals and thresholds are driver data and are sent to every task.
-MAX_SOURCES = 100_000
+#: Tables by source are sent to every task while there are at most so many sources (some 10 MB); more are joined by a shuffle.
+SENT_SOURCES = 100_000
 
 
 def _hash(seed: str) -> Column:
@@ -59,18 +59,43 @@ def _copies(h: Column, whole: Column, below: Column, also: Column, most: int = 3
     return whole + F.when((whole < most) & extra, 1).otherwise(0)
 
 
+def goals(totals: DataFrame, scratch: Scratch, weights: Sequence[float], most: float) -> tuple[DataFrame, int]:
+    """``targets`` for any number of sources: source, source_size, target, whole and budget from a table of source and n, and the number of sources.
+
+    Ranks come from a range sort and the counts of the ranges before; a round of resharing is one aggregate. The driver gets counts by
+    range and three sums a round.
+    """
+    spark = totals.sparkSession
+    order = F.col("source").asc_nulls_last()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.keep(totals.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "totals")
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    held = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = spark.createDataFrame([(p, sum(c for _, c in held[:i])) for i, (p, _) in enumerate(held)], "part long, before long")
+    turn = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("before") + row) % len(weights) + 1).cast("int"))
+    weighted = placed.join(F.broadcast(before), part == F.col("part")).select("source", "n", turn.alias("w"))
+    total, share, closed = None, None, -1
+    full = F.lit(False)
+    while True:
+        r = weighted.agg(F.sum("n").alias("total"), F.count_if(full).alias("closed"), F.sum(F.when(full, most * F.col("n"))).alias("taken"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        total = float(r["total"] or 0) if total is None else total
+        if r["closed"] == closed or not r["open"]:
+            break
+        closed, share = r["closed"], (total - (r["taken"] or 0)) / r["open"]
+        full = full | (F.col("w") * share > most * F.col("n"))
+    target = F.when(full, (most * F.col("n")).cast("double")).otherwise(F.col("w") * (share or 0.0))
+    whole = F.when(F.col("n") > 0, F.least(F.floor(F.col("target") / F.col("n")), F.lit(int(most)))).otherwise(0).cast("int")
+    out = weighted.withColumn("target", target).withColumn("whole", whole)
+    return out.select("source", F.col("n").alias("source_size"), "target", "whole", (F.col("target") - F.col("whole") * F.col("n")).alias("budget")), sum(c for _, c in held)
+
+
 def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: str = "mix") -> tuple[DataFrame, DataFrame, Scratch]:
-    """The thresholds by source, the sizes and hashes of all rows, and the scratch folder that holds the latter."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+    """The thresholds by source (to be sent to every task if there are few), the sizes and hashes of all rows, and the scratch folder that holds both."""
+    scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _hash(seed).alias("h")), "sized")
-    totals = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()]
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goal = targets(totals, weights, most=most)
-    rows = [(s, n, goal[s], min(int(goal[s] // n), most) if n else 0) for s, n in totals]
-    budgets = spark.createDataFrame([(s, n, t, c, float(t - c * n)) for s, n, t, c in rows], "source string, source_size long, target double, whole int, budget double")
-    return _thresholds(sized, budgets), sized, scratch
+    budgets, sources = goals(sized.groupBy("source").agg(F.sum("size").alias("n")), scratch, weights, most)
+    sent = F.broadcast if sources <= SENT_SOURCES else lambda df: df
+    return sent(_thresholds(sized, budgets, scratch, sent)), sized, scratch
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: str = "mix") -> tuple[DataFrame, Scratch]:
@@ -86,10 +111,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, se
 
     Null texts have size 0; a null source is a source of its own; null doc_ids share a hash, and so
     do repeated rows, which are taken or left together. An empty table gives an empty result.
-    Only totals by source reach the driver: at most ``MAX_SOURCES``, else the mix is refused.
+    Totals and thresholds are tables, of any number of sources.
     """
     threshold, sized, scratch = plan(docs, weights, most, seed)
-    where = sized.alias("d").join(F.broadcast(threshold).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    where = sized.alias("d").join(threshold.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     copies = _copies(F.col("d.h"), F.col("p.whole"), F.col("p.below"), F.col("p.also"), most)
     out = where.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", copies.alias("copies"))
     return out.withColumn("taken", (F.col("size") * F.col("copies")).cast("long")), scratch
@@ -104,46 +129,40 @@ def repeat(docs: DataFrame) -> DataFrame:
     threshold = plan(docs)[0]
     # Everything of the input is in one column and everything made beside it in another, so that no name can clash.
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("source").cast("string").alias("s"), _hash("mix").alias("h")).alias("mix"))
-    met = base.join(F.broadcast(threshold.select(F.struct("source", "whole", "below", "also").alias("plan"))), F.col("mix.s").eqNullSafe(F.col("plan.source")))
+    met = base.join(threshold.select(F.struct("source", "whole", "below", "also").alias("plan")), F.col("mix.s").eqNullSafe(F.col("plan.source")))
     copies = _copies(F.col("mix.h"), F.col("plan.whole"), F.col("plan.below"), F.col("plan.also"))
     return met.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
 
 
-def _thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """For each source the hash below which documents are taken, and whether that hash itself is."""
-    spark = sized.sparkSession
-    state = {r["source"]: {"prefix": "", "spent": 0, **r.asDict()} for r in plan.collect()}
+def _thresholds(sized: DataFrame, budgets: DataFrame, scratch: Scratch, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """For each source the hash below which documents are taken, and whether that hash itself is.
+
+    A table keeps for each source the beginning of its boundary hash that is known so far, the words below it and those in it; a null
+    beginning means that all fits.
+    """
+    state = scratch.keep(budgets.select("*", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("spent"), F.lit(None).cast("long").alias("last")), "state-0")
     for level in range(1, LEVELS + 1):
-        going = [(s, x["prefix"]) for s, x in state.items() if x["prefix"] is not None and len(x["prefix"]) < LEVEL_DIGITS * level]
-        if not going:
-            break
-        bounds = spark.createDataFrame(going, "source string, prefix string")
         n = LEVEL_DIGITS * level
-        inside = sized.alias("d").join(F.broadcast(bounds).alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & F.col("d.h").startswith(F.col("b.prefix")))
-        histogram = inside.groupBy("d.source", F.substring("d.h", 1, n).alias("bucket")).agg(F.sum("d.size").alias("n"), F.min("d.h").alias("least"), F.max("d.h").alias("most"))
+        going = state.where(F.length("prefix") < n)
+        if going.isEmpty():
+            break
+        bounds = sent(going.select("source", "prefix", (F.col("budget") - F.col("spent")).alias("room"))).alias("b")
+        inside = sized.alias("d").join(bounds, F.col("d.source").eqNullSafe(F.col("b.source")) & F.col("d.h").startswith(F.col("b.prefix")))
+        histogram = inside.groupBy("d.source", "b.room", F.substring("d.h", 1, n).alias("bucket")).agg(F.sum("d.size").alias("n"), F.min("d.h").alias("least"), F.max("d.h").alias("most"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        budgets = spark.createDataFrame([(s, float(state[s]["budget"] - state[s]["spent"])) for s, _ in going], "source string, room double")
         # The boundary bucket is the first that would pass the budget; at most 16^LEVEL_DIGITS buckets a source.
-        summed = histogram.withColumn("upto", F.sum("n").over(upto)).alias("h").join(F.broadcast(budgets).alias("g"), F.col("h.source").eqNullSafe(F.col("g.source")))
-        found = summed.where(F.col("h.upto") > F.col("g.room")).groupBy("h.source").agg(F.min(F.struct("h.bucket", "h.upto", "h.n", "h.least", "h.most")).alias("b")).collect()
-        met = {r["source"]: r["b"] for r in found}
-        for s, _ in going:
-            x = state[s]
-            if s not in met:  # all that is left fits
-                x |= {"prefix": None, "below": "g"}
-            else:
-                b = met[s]
-                x["spent"] += b["upto"] - b["n"]
-                # A bucket of one hash value is the boundary itself: no further level has to look into it.
-                x |= {"prefix": b["least"] if b["least"] == b["most"] else b["bucket"], "last": b["n"]}
-    out = []
-    for s, x in state.items():
-        if x["prefix"] is None:
-            out.append((s, x["source_size"], x["target"], x["whole"], x["below"], False))
-        else:
-            under, over = x["budget"] - x["spent"], x["spent"] + x["last"] - x["budget"]
-            out.append((s, x["source_size"], x["target"], x["whole"], x["prefix"], over < under))
-    return spark.createDataFrame(out, "source string, source_size long, target double, whole int, below string, also boolean")
+        over = histogram.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") > F.col("room"))
+        met = over.groupBy("source").agg(F.min(F.struct("bucket", "upto", "n", "least", "most")).alias("m")).select(F.col("source").alias("of"), "m")
+        both = state.join(sent(met), F.col("source").eqNullSafe(F.col("of")), "left")
+        open_, found = F.coalesce(F.length("prefix") < n, F.lit(False)), F.col("m").isNotNull()
+        # A bucket of one hash value is the boundary itself: no further level has to look into it.
+        prefix = F.when(open_ & found, F.when(F.col("m.least") == F.col("m.most"), F.col("m.least")).otherwise(F.col("m.bucket"))).when(~open_, F.col("prefix"))
+        state = scratch.keep(
+            both.select(*(c for c in state.columns if c not in ("prefix", "spent", "last")), prefix.alias("prefix"), (F.col("spent") + F.coalesce(F.col("m.upto") - F.col("m.n"), F.lit(0))).alias("spent"), F.coalesce("m.n", "last").alias("last")), f"state-{level}",
+        )
+    under, beyond = F.col("budget") - F.col("spent"), F.col("spent") + F.col("last") - F.col("budget")
+    also = F.col("prefix").isNotNull() & F.coalesce(beyond < under, F.lit(False))
+    return state.select("source", "source_size", "target", "whole", F.coalesce("prefix", F.lit("g")).alias("below"), also.alias("also"))
 
 
 def mix_sql(weights: Mapping[int, int] | None = None) -> str:
