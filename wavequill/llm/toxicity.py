@@ -129,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     if not pos or not neg:
         return OrdinalModel({}, np.zeros(0), np.full(GRADES - 1, -40.0 if pos else 40.0))
     seen = arrow_map(sample.select("text", "y"), make_counts, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    seen = scratch.keep(seen, "seen")  # both choices below read it
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     g2 = lambda x, n: F.when(x > 0, x * F.log(x / n)).otherwise(0.0)
     every = a + b
@@ -138,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     best = strong.where("a >= 3").where(share(a, pos) > 4 * share(b, neg)).where(share(a, 1) > share(b, 1)).limit(max_features).collect()
     against = strong.where("b >= 3").where(share(b, neg) > 4 * share(a, pos)).limit(max_against).collect()
     vocabulary = {r["feature"]: i for i, r in enumerate([*best, *against])}
+    scratch.drop("seen")
     whole = {i for f, i in vocabulary.items() if i < len(best) and not f.endswith("-")}
     rows, y = [], []
     matched = arrow_map(sample.select("text", "y"), lambda: _matcher(vocabulary, keep="y"), "found array<int>, y int")
