@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavequill.functions import names
+from wavequill.functions import dsp, names
 from wavequill.operators import decoding, reject, signals
 from wavequill.plans import config
 from wavequill.sources import formats, recordings, shared, store, tables
@@ -262,6 +262,11 @@ def test_markers_share_spectra(spark, small, monkeypatch):
     assert kept == ["signals", "psd", "low"]
 
 
+def test_spectra_name_an_impossible_overlap():
+    with pytest.raises(ValueError, match="overlap by 100"):
+        dsp.welch(np.zeros((1, 40)), 10.0, 256, 128, 100)
+
+
 def test_too_few_channels_fail_when_the_query_runs(spark):
     rows = [("a", e, f"E{c}", [0.0, 1.0 if c < 3 else 0.01]) for e in range(4) for c in range(4)] + [("b", 0, f"E{c}", [0.0, 0.01]) for c in range(4)]
     df = spark.createDataFrame(rows, "element string, epoch int, channel string, data array<double>")

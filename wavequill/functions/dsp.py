@@ -186,6 +186,8 @@ def welch(x: np.ndarray, fs: float, n_fft: int, n_per_seg: int, n_overlap: int)
     n = x.shape[-1]
     n_per_seg = min(n_per_seg, n_fft, n)
     step = n_per_seg - n_overlap
+    if step <= 0:
+        raise ValueError(f"segments of {n_per_seg} samples can't overlap by {n_overlap}")
     starts = np.arange(0, n - n_per_seg + 1, step)
     segments = np.stack([x[..., s : s + n_per_seg] for s in starts], axis=-2)
     segments = segments - segments.mean(axis=-1, keepdims=True)
