@@ -246,6 +246,17 @@ def test_cascade_rules(spark):
     assert waves.subject_thresholds(table, "99", strict=False).count() == 0
 
 
+def test_cascade_ignores_rounding(spark):
+    # Differences of samples less a mean of 0.1, all 0.3 or 1 but for their last digit.
+    made = lambda hi, lo: ("E1", hi - 0.1, (hi - 0.1) - (lo - 0.1), 1.0)
+    df = spark.createDataFrame([made(0.3, 0.0), made(0.4, 0.1), made(0.7, 0.4), made(0.35, 0.05), made(0.2, -0.1), made(1.0, 0.0), made(1.1, 0.1), made(0.25, 0.2)], "Channel string, ValPosPeak double, PTP double, Frequency double")
+    assert len({r["PTP"] for r in df.collect() if 0.2 < r["PTP"] < 0.4}) > 1
+    assert sorted(round(r["PTP"], 9) for r in waves.cascade(df, ptp_percentile=50).collect()) == [1.0, 1.0]
+    given = spark.createDataFrame([("E1", 0.3)], "channel string, ptp_threshold double")
+    assert sorted(round(r["PTP"], 9) for r in waves.cascade(df, thresholds=given).collect()) == [1.0, 1.0]
+    assert sorted(round(r["PTP"], 9) for r in waves.cascade(df, max_ptp=0.3, mode="fixed").collect()) == [0.05]
+
+
 def test_spindles_are_found_where_they_are():
     rng = np.random.default_rng(1)
     t = np.arange(250 * 20) / 250

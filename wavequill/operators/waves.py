@@ -17,6 +17,8 @@ from .signals import let
 WAVE = ("Start", "End", "MidCrossing", "Duration", "ValNegPeak", "ValPosPeak", "PTP", "Frequency", "Slope", "DescendingSlope", "AscendingSlope")
 WAVE_SCHEMA = "Channel string, Epoch int, ChanIdx int, " + ", ".join(f"{c} double" for c in WAVE)
 _EPS = float(np.finfo(float).eps)
+#: Amplitudes nearer to a limit than this share of it are equal to it.
+_TIE = 1e-12
 
 
 def zero_crossing_waves(signals: DataFrame, min_ptp: float = 0.0) -> DataFrame:
@@ -87,11 +89,12 @@ def cascade(waves: DataFrame, freq_threshold: float = 7.0, max_ptp: float = 150.
 
     Fixed mode stops before the threshold. Else it comes from ``thresholds`` (keys, channel,
     ptp_threshold), where channels without one lose all waves, or is the exact percentile of
-    the amplitudes of all epochs that are left. The comparison is strict.
+    the amplitudes of all epochs that are left. Comparisons are strict, and an amplitude that differs from
+    a limit by rounding alone is equal to it: equal differences of samples differ in their last digit.
     """
-    out = waves.where((F.col("Frequency") <= freq_threshold) & (F.col("PTP") < max_ptp))
+    out = waves.where((F.col("Frequency") <= freq_threshold) & (F.col("PTP") < max_ptp * (1 - _TIE)))
     if "ValPosPeak" in waves.columns:
-        out = out.where(F.col("ValPosPeak") < artifact_threshold)
+        out = out.where(F.col("ValPosPeak") < artifact_threshold * (1 - _TIE))
     for c in ("pos_halfway_period", "PosHalfPeriod"):
         if c in waves.columns:
             out = out.where(F.col(c).between(0.143, 2.0))
@@ -105,7 +108,7 @@ def cascade(waves: DataFrame, freq_threshold: float = 7.0, max_ptp: float = 150.
         limit = out.groupBy(*at).agg(F.percentile("PTP", F.lit(ptp_percentile / 100)).alias("__limit"))
     else:
         limit = thresholds.select(*keys, F.col("channel").alias("Channel"), F.col("ptp_threshold").alias("__limit"))
-    return out.join(limit, at).where(F.col("PTP") > F.col("__limit")).drop("__limit")
+    return out.join(limit, at).where(F.col("PTP") > F.col("__limit") * (1 + _TIE)).drop("__limit")
 
 
 def subject_thresholds(table: DataFrame, subject: str, strict: bool = True) -> DataFrame:
