@@ -257,6 +257,24 @@ def test_cascade_ignores_rounding(spark):
     assert sorted(round(r["PTP"], 9) for r in waves.cascade(df, max_ptp=0.3, mode="fixed").collect()) == [0.05]
 
 
+@pytest.mark.parametrize("seconds", [0.0, 0.02, 0.1])
+def test_far_from_artifacts(spark, seconds):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((2, 3, 900)) < 0.02, 9.0, 0.0)
+    x[0, 0] = 0
+    df = rows(spark, x)
+    n = max(1, round(seconds * 250))
+    places = [(e, c, m) for e in range(2) for c in range(3) for m in range(900)]
+    names = {(r["epoch"], r["ch_idx"]): r["channel"] for r in df.collect()}
+    found = spark.createDataFrame([(names[e, c], e, c, m / 250) for e, c, m in places], "Channel string, Epoch int, ChanIdx int, MidCrossing double").withColumns({"Start": F.lit(0.0), "End": F.lit(0.0)})
+    out = waves.far_from_artifacts(found, df, 5.0, seconds)
+    assert out.columns == ["Epoch", "Channel", "ChanIdx", "MidCrossing", "Start", "End"]
+    got = sorted((r["Epoch"], r["ChanIdx"], round(r["MidCrossing"] * 250)) for r in out.collect())
+    assert got == [(e, c, m) for e, c, m in places if not (x[e, c, max(0, m - n) : m + n + 1] > 5).any()]
+    # An array of all samples beyond the amplitude must not meet each wave.
+    assert "exists(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_spindles_are_found_where_they_are():
     rng = np.random.default_rng(1)
     t = np.arange(250 * 20) / 250

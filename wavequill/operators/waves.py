@@ -122,13 +122,22 @@ def subject_thresholds(table: DataFrame, subject: str, strict: bool = True) -> D
 def far_from_artifacts(waves: DataFrame, signals: DataFrame, amplitude: float, seconds: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
     """Drop waves whose middle lies within some seconds of a sample beyond the amplitude, in the same epoch and channel.
 
-    Samples beyond it become runs of indices by row; a wave meets its row once and looks at those alone.
+    Time is cut into cells as long as the whole stretch around a middle, which then reaches from its first cell into the next one at most:
+    a wave looks for its first cell alone, which tells that cell's last sample beyond the amplitude and the next one's first.
     """
     n = F.greatest(F.lit(1), F.round(seconds * F.col("sfreq")).cast("int"))
-    far = signals.select(*keys, F.col("epoch").alias("Epoch"), F.col("channel").alias("Channel"), F.col("sfreq").alias("__fs"), n.alias("__n"), F.filter(F.transform("data", lambda x, i: F.when(F.abs(x) > amplitude, i)), lambda i: i.isNotNull()).alias("__at"))
+    at = [*keys, "Epoch", "Channel"]
+    rows = signals.select(*keys, F.col("epoch").alias("Epoch"), F.col("channel").alias("Channel"), F.col("sfreq").alias("__fs"), n.alias("__n"), "data")
+    beyond = F.filter(F.transform("data", lambda x, i: F.when(F.abs(x) > amplitude, i)), lambda i: i.isNotNull())
+    cell = lambda i: F.floor(i / (2 * F.col("__n") + 1))
+    each = rows.select(*at, "__n", F.explode(beyond).alias("__i")).withColumn("__k", F.explode(F.array(cell(F.col("__i")), cell(F.col("__i")) - 1)))
+    own = F.col("__k") == cell(F.col("__i"))
+    far = each.groupBy(*at, "__k").agg(F.max(F.when(own, F.col("__i"))).alias("__last"), F.min(F.when(~own, F.col("__i"))).alias("__first"))
     centre = F.round(F.coalesce("MidCrossing", (F.col("Start") + F.col("End")) / 2) * F.col("__fs")).cast("int")
-    near = F.exists("__at", lambda i: F.abs(i - F.col("__c")) <= F.col("__n"))
-    return waves.join(far, [*keys, "Epoch", "Channel"]).withColumn("__c", centre).where(~near).drop("__fs", "__n", "__at", "__c")
+    placed = waves.join(rows.drop("data"), at).withColumn("__c", centre).withColumn("__k", cell(F.col("__c") - F.col("__n")))
+    w, f = placed.alias("w"), far.alias("f")
+    near = (F.col("f.__last") >= F.col("w.__c") - F.col("w.__n")) | (F.col("f.__first") <= F.col("w.__c") + F.col("w.__n"))
+    return w.join(f, [*(F.col(f"w.{c}") == F.col(f"f.{c}") for c in (*at, "__k")), near], "left_anti").drop("__fs", "__n", "__c", "__k")
 
 
 def features(waves: DataFrame, grid: DataFrame, columns: Sequence[str] = ("Duration", "PTP", "Frequency", "Slope"), keys: Sequence[str] = ()) -> DataFrame:
