@@ -138,6 +138,22 @@ def test_mutual_information_both_ways(spark, data, weighted):
         ordinal.mutual_information(rows(spark, part), (100,), 3).collect()
 
 
+@pytest.mark.parametrize("full", [True, False])
+def test_mutual_information_leaves_in_bounded_batches(spark, monkeypatch, full):
+    x = np.random.default_rng(5).normal(size=(40, 48, 12))
+    df, taken = rows(spark, x), []
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, f, schema: taken.append((self, f)) or self, raising=True)
+        ordinal.mutual_information(df, (1, 2), 3, keys=("epoch",), full=full)
+    epochs, f = taken[0]
+    made = list(f(iter(epochs.toArrow().combine_chunks().to_batches())))
+    pairs = 48 * 48 if full else 48 * 47 // 2
+    assert len(made) > 1 and max(b.num_rows for b in made) <= ordinal.PAIRS
+    assert sum(b.num_rows for b in made) == 40 * 2 * pairs
+    got = [tuple(r) for b in made for r in zip(*(b.column(c).to_pylist() for c in ("epoch", "tau", "channel_i", "channel_j")), strict=True)]
+    assert len(set(got)) == len(got) and len({g[0] for g in got}) == 40
+
+
 def test_kolmogorov(spark, data):
     import zlib
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .signals import let, window
 
+#: Channel pairs that leave a Python task at once.
+PAIRS = 1 << 16
+
 
 def alphabet(kernel: int) -> list[tuple[int, ...]]:
     """All patterns, ordered so that a pattern and its reverse stand at i and n! - 1 - i."""
@@ -64,9 +67,10 @@ def mutual_information(signals: DataFrame, taus: Sequence[int] = (8,), kernel: i
 
     ``full`` gives the symmetric matrix with its zero diagonal. Channels of an epoch meet in one
     group, whose pairs are counted by products of indicator matrices; epochs are the unit of
-    distribution, and a recording has as many as it likes.
+    distribution, and a recording has as many as it likes. Pairs leave Python in batches of at most
+    PAIRS, or of one epoch, so that the memory depends on neither the epochs of a batch nor the size of the input.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     _check(kernel, taus)
     n_symbols = math.factorial(kernel)
@@ -96,28 +100,40 @@ def mutual_information(signals: DataFrame, taus: Sequence[int] = (8,), kernel: i
         upper = np.triu(out, 1)
         return upper + upper.T
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            cols: dict[str, list] = {c: [] for c in ("row", "tau", "channel_i", "channel_j", "ch_i", "ch_j", "value")}
-            for k, (names, ix, data) in enumerate(zip(pdf["__names"], pdf["__ix"], pdf["__data"], strict=True)):
-                x, names, ix = np.stack(list(data)), np.asarray(names, object), np.asarray(ix)
+    def pairs(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        row, tau, a, b, value = (np.concatenate(v) for v in zip(*held, strict=True))
+        names, ix = batch.column("__names"), batch.column("__ix")
+        first = names.offsets.to_numpy()[row]
+        a, b = pa.array(first + a), pa.array(first + b)
+        columns = [*(batch.column(k).take(pa.array(row)) for k in keys), pa.array(tau, pa.int32()), names.values.take(a), names.values.take(b), *(ix.values.take(i).cast(pa.int32()) for i in (a, b)), pa.array(value)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "tau", "channel_i", "channel_j", "ch_i", "ch_j", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("__data")
+            first, cuts, flat = rows.offsets.to_numpy(), rows.values.offsets.to_numpy(), rows.values.values.to_numpy(zero_copy_only=False)
+            held: list[tuple] = []
+            n = 0
+            for k in range(len(batch)):
+                ends = cuts[first[k] : first[k + 1] + 1]
+                if len(set(np.diff(ends))) > 1:
+                    raise ValueError("channels of an epoch differ in their number of samples")
+                x = flat[ends[0] : ends[-1]].reshape(len(ends) - 1, -1)
                 a, b = (g.ravel() for g in np.indices((len(x), len(x)))) if full else np.triu_indices(len(x), 1)
                 for tau in taus:
-                    made = (np.full(len(a), k), np.full(len(a), tau), names[a], names[b], ix[a], ix[b], matrix(x, tau)[a, b])
-                    for c, v in zip(cols, made, strict=True):
-                        cols[c].append(v)
-            out = pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
-            for key in keys:
-                out[key] = pdf[key].to_numpy()[out["row"].to_numpy()]
-            yield out[[*keys, "tau", "channel_i", "channel_j", "ch_i", "ch_j", "value"]]
+                    if held and n + len(a) > PAIRS:
+                        yield pairs(batch, held)
+                        held, n = [], 0
+                    held.append((np.full(len(a), k), np.full(len(a), tau), a, b, matrix(x, tau)[a, b]))
+                    n += len(a)
+            if held:
+                yield pairs(batch, held)
 
     cut = signals.withColumn("data", window(F.col("data"), F.col("sfreq"), F.col("tmin"), tmin, tmax))
     # An epoch becomes one row of arrays, so that a Python batch holds many epochs.
     epochs = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ch_idx", "channel", "data"))).alias("__rows"))
     part = lambda c: F.transform("__rows", lambda r: r[c])
-    return epochs.select(*keys, part("channel").alias("__names"), part("ch_idx").alias("__ix"), part("data").alias("__data")).mapInPandas(run, schema)
+    return epochs.select(*keys, part("channel").alias("__names"), part("ch_idx").alias("__ix"), part("data").alias("__data")).mapInArrow(run, schema)
 
 
 def mutual_information_sql(signals: DataFrame, tau: int, kernel: int = 3, weighted: bool = True, keys: Sequence[str] = ("element", "epoch")) -> DataFrame:
